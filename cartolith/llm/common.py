@@ -1,66 +1,15 @@
-"""What the corpus operators share: scratch tables, code shipping, batches, distributed numbering.
-
-Scratch data always lives below ``spark.checkpoint.dir``, the folder that driver and executors
-share; a folder of our own is set only where a session has none (as in tests).
-"""
+"""What the corpus operators share beside written tables: batches, distributed numbering."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to a Python worker, unless the session says otherwise. With
-#: documents of some KB a batch stays at a few MB, and the longest documents fit beside it.
-BATCH_ROWS = 512
-
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_cartolith_scratch", None) or tempfile.mkdtemp(prefix="cartolith-")
-        spark._cartolith_scratch = root
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table of this run."""
-    return f"{scratch_root(spark)}/cartolith-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, columns stay prunable."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def prepare(spark: SparkSession) -> None:
-    """Makes the session ready for Python stages: bounded Arrow batches, this package on executors."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_cartolith_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="cartolith-code-")
-    target = os.path.join(folder, "cartolith_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for base, _, names in os.walk(_PACKAGE):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(base, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    sc.addPyFile(target)
-    sc._cartolith_shipped = True
+from cartolith.scratch import materialise, prepare, scratch_path, scratch_root
+
+__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "utf8_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
