@@ -145,11 +145,15 @@ def judge(pages: DataFrame, rules: Iterable[Rule], most_bytes: int = MOST_BYTES)
     spark = pages.sparkSession
     prepare(spark)
     rules = list(rules)
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_cartolith_rule_files", set())
     name = f"cartolith-rules-{xxhash.xxh64_hexdigest(repr(rules))}.cuf"
     local = os.path.join(tempfile.mkdtemp(prefix="cartolith-"), name)
     if build_file(rules, local) > most_bytes:
         return judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
-    spark.sparkContext.addFile(local)
+    if name not in sent:  # a name can be registered once in an application
+        sc.addFile(local)
+        sent.add(name)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _opened:
