@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.llm.common import materialise, prepare
-from cartolith.llm.graph import components
+from cartolith.operators.graph import components
 
 THRESHOLD = 0.98
 CODES = 512
@@ -58,10 +58,11 @@ def code(dim: int, codes: int, filters_each: float, seed: int) -> tuple[np.ndarr
         halves[1] *= 0
     probe = rng.standard_normal((256, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    a, b = _halves(probe, rotation, halves[0], halves[1])
-    all_ = (a[:, :, None] + b[:, None, :]).astype(np.float32).reshape(-1)
-    nth = max(1, min(len(all_) - 1, int(filters_each * len(probe))))
-    alpha = float(np.partition(all_, len(all_) - nth)[len(all_) - nth])
+    most = min(codes * codes, int(16 * filters_each))
+    # The best products of each probe are enough to place the quantile; all of them wouldn't fit.
+    best = [np.partition((a[:, None] + b[None, :]).reshape(-1), codes * codes - most)[codes * codes - most :] for a, b in zip(*_halves(probe, rotation, halves[0], halves[1]))]
+    every = np.sort(np.concatenate(best))
+    alpha = float(every[max(0, len(every) - max(1, int(filters_each * len(probe))))])
     return rotation, halves[0], halves[1], alpha
 
 
