@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolith.scratch import materialise, prepare, scratch_path, scratch_root
 
-__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "utf8_bytes"]
+__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "whole_row", "free_name"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,14 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def utf8_bytes(col: str) -> Column:
-    """A text's UTF-8 bytes; a null text has none."""
-    return F.encode(F.coalesce(F.col(col), F.lit("")), "UTF-8")
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where a column has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

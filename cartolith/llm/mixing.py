@@ -31,7 +31,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import materialise
+from cartolith.llm.common import materialise, whole_row
 
 NONE = "(none)"
 #: Rows of a leaf's hash bucket, about.
@@ -159,7 +159,7 @@ def select_rows(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[s
     """The rows of ``docs``, each as often as the mix takes it; columns as they were."""
     _, leaves = plan_mix(docs, domain, weights, budget, max_epochs, seed, tokens)
     keys = [F.coalesce(c.cast("string"), F.lit(NONE)) for c in (domain, F.col("lang"), F.col("source"))]
-    wide = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), *[k.alias(f"__{n}") for k, n in zip(keys, ("domain", "lang", "source"))])
+    wide = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").alias("__id"), *[k.alias(f"__{n}") for k, n in zip(keys, ("domain", "lang", "source"))])
     wide = with_leaves(wide, leaves, ("epochs", "end_hash"), ("__domain", "__lang", "__source"))
     times = F.explode(F.sequence(F.lit(1), copies_of(seed, "__id").cast("int")))
     return wide.where(copies_of(seed, "__id") > 0).select("__row", times.alias("__time")).select("__row.*")

@@ -26,7 +26,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolith.llm.common import prepare
@@ -289,9 +288,12 @@ def pseudonyms(key: bytes, back: bool = False) -> Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: bool = False, back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``.
 
-    With ``counts`` come ``n_values`` (long) and ``kinds`` (string like ``card:1,email:2``).
+    With ``counts`` come ``n_values`` (long) and ``kinds`` (string like ``card:1,email:2``); columns
+    of these names are replaced.
     """
     prepare(docs.sparkSession)
+    if counts:
+        docs = docs.drop("n_values", "kinds")
     at = docs.columns.index(text)
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,4 +311,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: bool =
     if counts:
         schema = schema.add("n_values", T.LongType()).add("kinds", T.StringType())
     names = schema.fieldNames()
-    return docs.withColumn(text, F.col(text)).mapInArrow(change, schema)
+    return docs.mapInArrow(change, schema)

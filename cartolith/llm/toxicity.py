@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import prepare
+from cartolith.llm.common import free_name, prepare
 
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -201,4 +201,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold; columns as they were."""
-    return scored(docs, model, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    score = free_name(docs, "toxicity")
+    return scored(docs, model, score).where(F.col(score) < threshold).drop(score)
