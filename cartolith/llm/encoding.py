@@ -13,17 +13,46 @@ import json
 import os
 import re
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-
-#: White space beside white space, and the two marks that parts use.
-_ADJACENT = re.compile(r"\s\s|[\0\1]")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# The characters that are white space to the library or to Python, and plain letters.
+_SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: White space at the start or beside white space, and the mark that parts use.
+_ADJACENT = f"^[{_SPACES}]|[{_SPACES}][{_SPACES}]|\x01"
 #: A full stop or comma that follows neither a plain letter nor a digit: it may belong to a longer run.
-_LOOSE_STOP = re.compile("(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,]")
+_LOOSE_STOP = f"(?:^|[^0-9{_LETTERS}])[.,]"
 #: The pre-tokenizer pattern that drops white space (a fixed value of the vocabulary file).
 _WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Words of plain letters: a pre-token each, and not changed by composition.
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves; the others, in order, for the code points from 256.
+    """
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_names()
+
+
+def _text(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
+#: Texts that are cut together have about so many characters, and one text more.
+GROUP_CHARS = 4_000_000
+
 _loaded: dict[str, "MemoEncoder"] = {}
 
 
@@ -34,6 +63,19 @@ def encoder(path: str) -> "MemoEncoder":
     return _loaded[path]
 
 
+def grouped(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = GROUP_CHARS) -> Iterator[pa.Table]:
+    """Batches put together until the texts of a column have about so many bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= most_bytes:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class MemoEncoder:
     """Encodes texts to little-endian ids of 16 or 32 bits, by the vocabulary's size.
 
@@ -41,7 +83,7 @@ class MemoEncoder:
     old one, and what is asked for again moves back to the young one.
     """
 
-    def __init__(self, path: str, most_parts: int = 600_000, longest_part: int = 48):
+    def __init__(self, path: str, most_parts: int = 400_000, longest_part: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,74 +96,124 @@ class MemoEncoder:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._most, self._longest = most_parts, longest_part
+        self._model = self._tokenizer.model
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        packed = [array.array(self._code, e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pack(self, ids: list[int]) -> bytes:
+        a = array.array(self._code, ids)
         if sys.byteorder == "big":
-            for p in packed:
-                p.byteswap()
-        return [p.tobytes() for p in packed]
+            a.byteswap()
+        return a.tobytes()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token, straight from the library's merges."""
+        told = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return self._pack([t.id for t in self._model.tokenize(told)])
 
-    def _parts(self, text: str) -> list[str] | None:
-        """The parts of a text; None where it has to be encoded whole.
+    def _marked(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(texts with a blank before each part, which of them can be cut).
 
         ``spaced``: a single white-space character between two others is a border before it. A part
-        stands for a blank and itself; one that begins with a line feed or a mark stands for what
-        follows the mark. ``dropped``: blanks and line feeds are borders and give no ids. In both a
-        full stop or comma after a plain letter or digit begins a part.
+        stands for a blank and itself, or, with a mark, for what follows the mark. ``dropped``:
+        blanks and line feeds are borders and give no ids. In both a full stop or comma after a
+        plain letter or digit begins a part.
         """
-        if self._kind == "dropped":
-            if not _LOOSE_STOP.search(text):
-                text = text.replace(",", " ,").replace(".", " .")
-            return text.replace("\n", " ").split(" ")
-        if self._kind == "spaced" and not _ADJACENT.search(text) and not text[:1].isspace():
-            if not _LOOSE_STOP.search(text):
-                text = text.replace(",", " \1,").replace(".", " \1.")
-            parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\0" + parts[0]
-            return parts
-        return None
-
-    def _said(self, part: str) -> str:
-        """What a part stands for."""
-        if self._kind == "dropped" or part[:1] == "\n":
-            return part
-        return part[1:] if part[:1] in ("\0", "\1") else " " + part
+        spaced = self._kind == "spaced"
+        if not spaced and self._kind != "dropped":
+            return texts, np.zeros(len(texts), dtype=bool)
+        mark = " \1" if spaced else " "
+        stops = texts
+        for c in ",.":
+            stops = pc.replace_substring(stops, c, mark + c)
+        out = pc.if_else(pc.match_substring_regex(texts, _LOOSE_STOP), texts, stops)
+        if not spaced:
+            return pc.replace_substring(out, "\n", " "), np.ones(len(texts), dtype=bool)
+        out = pc.binary_join_element_wise(_text("\1"), pc.replace_substring(out, "\n", " \1\n \1"), _text(""))
+        return out, ~pc.match_substring_regex(texts, _ADJACENT).to_numpy(zero_copy_only=False)
+
+    def _ask(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts, by the library."""
+        plain, out, hard = _PLAIN.fullmatch, {}, []
+        for p in parts:
+            if self._kind == "dropped":
+                if plain(p):
+                    out[p] = self._word(p.lower())
+                else:
+                    hard.append((p, p))
+            elif p[:1] == "\1":
+                if plain(p, 1):
+                    out[p] = self._word(p[1:])
+                else:
+                    hard.append((p, p[1:]))
+            elif plain(p):
+                out[p] = self._word(" " + p)
+            else:
+                hard.append((p, " " + p))
+        out.update(zip([p for p, _ in hard], self._library([said for _, said in hard])))
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
         texts = list(texts)
-        if len(self._young) > self._most:
-            self._old, self._young = self._young, {}
-        memo, old = self._young, self._old
+        out: list[bytes] = []
+        group, held = [], 0
+        for t in texts:
+            group.append(t)
+            held += len(t)
+            if held > GROUP_CHARS:
+                out += self._encode_group(group)
+                group, held = [], 0
+        return out + self._encode_group(group) if group else out
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        marked, cut = self._marked(pa.array(texts, pa.large_string()))
         out: list[bytes] = [b""] * len(texts)
-        whole: list[int] = []
-        cut: list[tuple[int, list[str]]] = []
-        missing: set[str] = set()
-        for i, t in enumerate(texts):
-            parts = self._parts(t)
-            if parts is None:
-                whole.append(i)
-            else:
-                cut.append((i, parts))
-                missing.update([p for p in parts if p not in memo])
-        asked = []
-        for p in missing:
-            if (ids := old.get(p)) is None:
-                asked.append(p)
-            else:
-                memo[p] = ids
-        if asked:
-            memo.update(zip(asked, self._library([self._said(p) for p in asked])))
-        for i, parts in cut:
-            out[i] = b"".join([memo[p] for p in parts])
-        for p in asked:
-            if len(p) > self._longest:
-                del memo[p]
+        whole = np.flatnonzero(~cut).tolist()
         if whole:
             for i, ids in zip(whole, self._library([texts[i] for i in whole])):
                 out[i] = ids
+        if cut.any():
+            places = np.flatnonzero(cut)
+            for i, ids in zip(places.tolist(), self._encode_parts(marked if len(places) == len(texts) else marked.take(pa.array(places)))):
+                out[i] = ids
         return out
 
+    def _encode_parts(self, marked: pa.Array) -> list[bytes]:
+        """Encodes marked texts: each distinct part is looked up once, then put in its places."""
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._of_parts(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy()
+        sizes = np.array([len(x) for x in ids], dtype=np.int64) // self.width
+        each = sizes[place]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        shift = (np.cumsum(sizes) - sizes)[place] - (ends - each)
+        all_ids = joined[np.repeat(shift, each) + np.arange(total)].tobytes()
+        borders = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width
+        return [all_ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        if len(self._young) > self._most:
+            self._old, self._young = self._young, {}
+        memo, old = self._young, self._old
+        got: list[bytes | None] = list(map(memo.get, parts))
+        asked = []
+        for i, g in enumerate(got):
+            if g is None:
+                if (ids := old.get(parts[i])) is None:
+                    asked.append(i)
+                else:
+                    got[i] = memo[parts[i]] = ids
+        fresh = self._ask([parts[i] for i in asked])
+        for i in asked:
+            got[i] = fresh[parts[i]]
+        memo.update((p, ids) for p, ids in fresh.items() if len(p) <= self._longest)
+        return got  # type: ignore[return-value]
+
 
 def _kind(path: str) -> str:
     with open(path, encoding="utf-8") as f:

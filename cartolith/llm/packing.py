@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.common import materialise, number_within, prepare
-from cartolith.llm.encoding import encoder
+from cartolith.llm.encoding import encoder, grouped
 
 CAPACITY = 4096
 SLACK = 0.02
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in grouped(batches, 1):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for doc, key, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), enc.encode(texts)):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.common import buckets_for, prepare, scratch_path
-from cartolith.llm.encoding import encoder
+from cartolith.llm.encoding import encoder, grouped
 
 MAGIC = b"CPL1"
 HEAD = struct.Struct("<4sBBIQIII")
@@ -123,7 +123,7 @@ def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int, kind:
             return pa.RecordBatch.from_arrays(cols, names=["shard", "frame_no", "n_ids", "doc_ids", "frame"])
 
         total = 0
-        for batch in batches:
+        for batch in grouped(batches, 1):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for doc, part, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), enc.encode(texts)):
                 shard = part
