@@ -46,7 +46,11 @@ SEED = 20_240_601
 
 @lru_cache(8)
 def code(dim: int, codes: int, filters_each: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(rotation, codes of the first half, of the second half, alpha) for vectors of ``dim``."""
+    """(rotation, codes of the first half, of the second half, alpha) for vectors of ``dim``.
+
+    Few dimensions hold few directions, so short vectors have at most ``2 ** dim`` codes a half.
+    """
+    codes = min(codes, 1 << min(dim, 20))
     rng = np.random.default_rng([seed, dim, codes])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     first = (dim + 1) // 2
@@ -88,7 +92,7 @@ def filters_of(x: np.ndarray, codes: int = CODES, filters_each: float = FILTERS_
             m = min(least, len(ss))
             best = np.argsort(-(ss[:m, None] + ts[None, :m]).reshape(-1), kind="stable")[:least]
             i, j = np.divmod(best, m)
-        out.append(np.sort(so[i].astype(np.int64) * codes + to[j]))
+        out.append(np.sort(so[i].astype(np.int64) * len(t) + to[j]))
     return out
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.scratch import materialise, prepare, scratch_path, scratch_root
 
-__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "whole_row", "free_name"]
+__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "whole_row", "free_name", "map_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +63,18 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def map_rows(df: DataFrame, change: Callable[[pa.RecordBatch], list[pa.Array]], more: T.StructType | None = None) -> DataFrame:
+    """Changes batches of whole rows; ``more`` are fields that follow the table's own.
+
+    ``change`` gives the columns of a batch. Columns travel under plain names, so any name will do.
+    """
+    fields = [*df.schema.fields, *(more.fields if more else [])]
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(change(batch), names=[f"c{i}" for i in range(len(fields))])
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*[f.name for f in fields])

@@ -21,14 +21,14 @@ import datetime
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cartolith.llm.common import prepare
+from cartolith.llm.common import map_rows, prepare
 
 ROUNDS = 8
 _ANY = re.compile("[0-9@]")
@@ -296,19 +296,15 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: bool =
         docs = docs.drop("n_values", "kinds")
     at = docs.columns.index(text)
 
-    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def change(batch: pa.RecordBatch) -> list[pa.Array]:
         by = pseudonyms(key, back)
-        for batch in batches:
-            got = [(None, Counter()) if t is None else by.replace(t) for t in batch.column(at).to_pylist()]
-            cols = list(batch.columns)
-            cols[at] = pa.array([t for t, _ in got], pa.string())
-            if counts:
-                cols.append(pa.array([sum(c.values()) for _, c in got], pa.int64()))
-                cols.append(pa.array([",".join(f"{k}:{c[k]}" for k in sorted(c)) for _, c in got], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = T.StructType(list(docs.schema.fields))
-    if counts:
-        schema = schema.add("n_values", T.LongType()).add("kinds", T.StringType())
-    names = schema.fieldNames()
-    return docs.mapInArrow(change, schema)
+        got = [(None, Counter()) if t is None else by.replace(t) for t in batch.column(at).to_pylist()]
+        cols = list(batch.columns)
+        cols[at] = pa.array([t for t, _ in got], pa.string())
+        if counts:
+            cols.append(pa.array([sum(c.values()) for _, c in got], pa.int64()))
+            cols.append(pa.array([",".join(f"{k}:{c[k]}" for k in sorted(c)) for _, c in got], pa.string()))
+        return cols
+
+    more = T.StructType().add("n_values", T.LongType()).add("kinds", T.StringType())
+    return map_rows(docs, change, more if counts else None)

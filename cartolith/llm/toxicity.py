@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import free_name, prepare
+from cartolith.llm.common import free_name, map_rows, prepare
 
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -96,7 +96,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 250, rate: float = 0.3, shrink: float = 2e-4, full_shrink: int = 1_500, least_documents: int = 3) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.15, shrink: float = 3e-4, full_shrink: int = 1_500, least_documents: int = 3) -> Model:
     """Fits the model by proximal gradient steps on the non-negative risk (Adam scaling).
 
     ``shrink`` holds from ``full_shrink`` positives on; fewer are noisier and shrink more, with
@@ -181,15 +181,13 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     told = spark.sparkContext.broadcast(model)  # at most FEATURES weights
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = told.value.scorer()
-        for batch in batches:
-            scores = [by.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        if not ready:
+            ready.append(told.value.scorer())
+        return [*batch.columns, pa.array([ready[0].score(t) for t in batch.column(at).to_pylist()], pa.float64())]
 
-    schema = T.StructType(list(docs.schema.fields)).add(score, T.DoubleType())
-    names = schema.fieldNames()
-    return docs.mapInArrow(run, schema)
+    ready: list[Scorer] = []  # one for each task
+    return map_rows(docs, run, T.StructType().add(score, T.DoubleType()))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
