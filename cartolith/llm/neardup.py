@@ -6,21 +6,27 @@ up to a document share of 1 % and falls to ``IDF_FLOOR`` for a shingle in every
 boilerplate counts less. Document counts come from all documents: each task counts shingles in a
 table of fixed size, tables are added up, and what chance collisions explain is taken off.
 
-Improved consistent weighted sampling draws ``BANDS * ROWS`` samples: shingle and level ``(s, t)``
+A weight is kept as elements: the first occurrence of a shingle weighs its idf, the ``k``-th adds
+``(ln k - ln (k - 1)) * idf``, each a whole number of 250ths in the element's low eight bits. So
+an element weighs the same in every document, and the weighted Jaccard similarity of two documents
+is the weight of their common elements over that of all.
+
+Improved consistent weighted sampling draws ``BANDS * ROWS`` samples: element and level ``(e, t)``
 with least ``a = c / (y e^r)``, ``ln y = r (t - beta)``, ``t = floor(ln w / r + beta)``. The draws
-``r, c, beta`` come from a seeded table that a hash of shingle and sample addresses, and weights
-are kept on a grid of ``LOG_STEP``, so that ``a`` is a table look-up. Two documents agree in a
-sample with the probability of their weighted Jaccard similarity.
+``r, c, beta`` come from a seeded table that a hash of element and sample addresses, so ``a`` is a
+table look-up. Two documents agree in a sample with the probability of their similarity.
 
 Documents that agree in all samples of a band are candidates. Texts that are equal are one node.
-Within a bucket every node is verified against its least node first (a star, never all pairs).
-Links are pairs with weighted Jaccard similarity >= the threshold on the whole texts. A node that
-is not linked to its star's centre is compared further with what it can still reach: similarity
-distance is a metric, so a node ``c`` linked to nobody yet can be near a node ``b`` of the star only
-if ``|d(a, c) - d(a, b)| <= 1 - threshold``; nodes of one component need no comparison. Components
-are found by distributed star contraction; a class is named by its least ``doc_id``.
+Within a bucket every node is verified against the centre first (a star, never all pairs); the
+centre is the node whose own buckets are the fullest, which in a family of copies is one close to
+the original. Links are pairs with weighted Jaccard similarity >= the threshold on the whole
+texts. A node ``c`` that is not linked to its centre ``a`` is compared further, with the nodes
+``b`` of the bucket that it can still be linked to: those of other components, with
+``|d(a, c) - d(a, b)| <= 1 - threshold`` (similarity distance is a metric). That comparison is part
+of the join's condition, at the first bucket that both are in, so only links come out of it.
+Components are found by distributed star contraction; a class is named by its least ``doc_id``.
 
-At similarity 0.8 a pair is missed with probability 0.0004, at 0.9 with less than 1e-8.
+At similarity 0.8 a pair shares no band with probability 0.0004, at 0.9 with less than 1e-8.
 
 Edge cases: a null text is its own class; empty texts, and texts without words, are alike only
 where they are equal; repeated rows are copies; rows with a null ``doc_id`` take part, and name a
@@ -39,8 +45,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import materialise, prepare
-from cartolith.llm.graph import components
+from cartolith.llm.common import materialise, prepare, whole_row
+from cartolith.operators.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -49,7 +55,8 @@ IDF_FLOOR = 0.7
 IDF_FULL_SHARE = 0.01
 IDF_STEPS = 16
 TABLE_BITS = 18
-LOG_STEP = 0.02
+#: An element's weight is a whole number of this part.
+UNIT = 250
 POOL_BITS = 14
 SEED = 7
 REMEMBERED = 400_000
@@ -128,23 +135,31 @@ def idf_levels(table: np.ndarray, n: int) -> np.ndarray:
     return np.where(df < 20, 0, np.round(fallen * IDF_STEPS)).astype(np.uint8)
 
 
-def weights_of(text: str | None, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles ascending, weight of each on the logarithmic grid: ``exp(LOG_STEP * w)``)."""
+def elements_of(text: str | None, levels: np.ndarray) -> np.ndarray:
+    """The elements of a text, ascending; the low eight bits are the weight."""
     h, tf = shingles(text)
     if not len(h):
-        return h, np.empty(0, np.int16)
-    logs = np.log1p(np.log(tf)) + np.log(1 - (1 - IDF_FLOOR) * levels[slot_of(h)] / IDF_STEPS)
-    return h, np.round(logs / LOG_STEP).astype(np.int16)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The weighted Jaccard similarity of two documents; 0 where one has no shingles."""
-    if not len(a[0]) or not len(b[0]):
+        return np.empty(0, np.int64)
+    idf = (1 - (1 - IDF_FLOOR) * levels[slot_of(h)] / IDF_STEPS) * UNIT
+    parts, k, left = [(h, np.round(idf))], 2, tf > 1
+    while left.any():
+        h, tf, idf = h[left], tf[left], idf[left]
+        more = np.round(idf * np.log(k / (k - 1)))
+        if not more.any():
+            break
+        parts.append((_mix(h + np.uint64(k)), more))
+        k += 1
+        left = tf >= k
+    every = np.concatenate([(x & np.uint64(0xFFFFFFFFFFFFFF00)) | w.astype(np.uint64) for x, w in parts])
+    return np.unique(every[every & np.uint64(255) > 0]).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The weighted Jaccard similarity of two documents' elements; 0 where one has none."""
+    if not len(a) or not len(b):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    wa, wb = np.exp(LOG_STEP * a[1].astype(np.float64)), np.exp(LOG_STEP * b[1].astype(np.float64))
-    shared = float(np.minimum(wa[i], wb[j]).sum())
-    return shared / (float(wa.sum()) + float(wb.sum()) - shared)
+    shared = int((np.intersect1d(a, b, assume_unique=True) & 255).sum())
+    return shared / (int((a & 255).sum()) + int((b & 255).sum()) - shared)
 
 
 @lru_cache(1)
@@ -154,11 +169,11 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, rng.uniform(size=1 << POOL_BITS)
 
 
-@lru_cache(512)
-def _row_of_level(level: int) -> np.ndarray:
+@lru_cache(256)
+def _row_of_weight(weight: int) -> np.ndarray:
     """For a weight, ``a`` of each draw as bits that sort like it."""
     r, c, beta = _draws()
-    t = np.floor(LOG_STEP * level / r + beta)
+    t = np.floor(np.log(weight / UNIT) / r + beta)
     a = c / np.exp(r * (t - beta + 1))
     return a.astype(np.float32).view(np.uint32)
 
@@ -170,30 +185,28 @@ def _sample_hashes() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def band_keys(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """The band keys of each weighted document; none for documents without shingles."""
+def band_keys(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """The band keys of each document's elements; none for documents without."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(docs)
-    full = [i for i, d in enumerate(docs) if len(d[0])]
+    full = [i for i, d in enumerate(docs) if len(d)]
     if not full:
         return out
-    starts = np.cumsum([0] + [len(docs[i][0]) for i in full[:-1]])
-    h = np.concatenate([docs[i][0] for i in full])
-    w = np.concatenate([docs[i][1] for i in full])
-    levels, row = np.unique(w, return_inverse=True)
-    table = np.concatenate([_row_of_level(int(v)) for v in levels])
+    starts = np.cumsum([0] + [len(docs[i]) for i in full[:-1]])
+    h = np.concatenate([docs[i] for i in full]).view(np.uint64)
+    weights, row = np.unique((h & np.uint64(255)).astype(np.uint8), return_inverse=True)
+    table = np.concatenate([_row_of_weight(int(v)) for v in weights])
     base = (row << POOL_BITS).astype(np.int32)
     multipliers, addends = _sample_hashes()
     keys = np.empty((len(full), BANDS), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            key = np.full(len(full), band, dtype=np.uint64)
-            for s in range(band * ROWS, (band + 1) * ROWS):
-                x = h * multipliers[s] + addends[s]
-                drawn = table[base + (x >> np.uint64(64 - POOL_BITS)).astype(np.int32)].astype(np.uint64)
-                # The draw's a in the high bits; equal ones are told apart by the shingle's own bits.
-                x = (drawn << np.uint64(32)) | ((x >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
-            keys[:, band] = key
+    for band in range(BANDS):
+        key = np.full(len(full), band, dtype=np.uint64)
+        for s in range(band * ROWS, (band + 1) * ROWS):
+            x = h * multipliers[s] + addends[s]
+            drawn = table[base + (x >> np.uint64(64 - POOL_BITS)).astype(np.int32)].astype(np.uint64)
+            # The draw's a in the high bits; equal ones are told apart by the element's own bits.
+            x = (drawn << np.uint64(32)) | ((x >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+        keys[:, band] = key
     for i, k in zip(full, keys.view(np.int64)):
         out[i] = k
     return out
@@ -206,40 +219,38 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[np.ndarray] = []
-            group: list[tuple[np.ndarray, np.ndarray]] = []
+            group: list[np.ndarray] = []
             held = 0
             for t in batch.column(1).to_pylist():
-                group.append(weights_of(t, told.value))
-                held += len(group[-1][0])
+                group.append(elements_of(t, told.value))
+                held += len(group[-1])
                 if held > 60_000:  # what fits a core's cache
                     keys += band_keys(group)
                     group, held = [], 0
             keys += band_keys(group)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("node"))
     return slim.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
 
 
-def weighted_nodes(docs: DataFrame, nodes: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``node, weighted`` of the texts whose node is in ``nodes``, each once."""
+def nodes_with_elements(docs: DataFrame, nodes: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``node, elements, mass`` of the texts whose node is in ``nodes``, each once."""
     told = docs.sparkSession.sparkContext.broadcast(levels)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                h, w = weights_of(t, told.value)
-                out.append(h.tobytes() + w.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "weighted"])
+            out = [elements_of(t, told.value) for t in batch.column(1).to_pylist()]
+            mass = [int((e & 255).sum()) for e in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(mass, pa.int64())], names=["node", "elements", "mass"])
 
     texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).select("node", "text").mapInArrow(weigh, "node binary, weighted binary")
+    return texts.groupBy("node").agg(F.first("text").alias("text")).select("node", "text").mapInArrow(weigh, "node binary, elements array<long>, mass long")
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 10
-    return np.frombuffer(raw, dtype=np.uint64, count=n), np.frombuffer(raw, dtype=np.int16, offset=8 * n)
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def measured(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -247,16 +258,11 @@ def measured(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, left = None, None
-            sims = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last:
-                    last, left = a, _unpack(x)
-                sims.append(similarity(left, _unpack(y)))
+            sims = [similarity(x, y) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    x = weighted.select(F.col("node").alias("a"), F.col("weighted").alias("wa"))
-    y = weighted.select(F.col("node").alias("b"), F.col("weighted").alias("wb"))
+    x = weighted.select(F.col("node").alias("a"), F.col("elements").alias("wa"))
+    y = weighted.select(F.col("node").alias("b"), F.col("elements").alias("wb"))
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", "wa", "wb")
     return joined.mapInArrow(compare, "a binary, b binary, sim double")
 
@@ -267,36 +273,46 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     levels = idf_levels(*document_counts(docs))
     rows = materialise(signatures(docs, levels), "dup-rows")
     banded = rows.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
-    # Centres of buckets with at least two different texts; buckets are summed before the shuffle.
-    centres = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other").select("key", "centre")
-    members = banded.join(centres, "key").where("node != centre").distinct()
-    members = materialise(members, "dup-members")
+    # Buckets with at least two different texts; they are summed up before the shuffle.
+    buckets = banded.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n")).where("one != other")
+    members = materialise(banded.join(buckets.select("key", "n"), "key").distinct(), "dup-members")
+    fullness = members.groupBy("node").agg(F.sum("n").alias("fullness"))
+    centres = members.join(fullness, "node").groupBy("key").agg(F.max(F.struct("fullness", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    members = materialise(members.select("key", "node").join(centres, "key").where("node != centre"), "dup-centred")
     star = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     nodes = members.select("node").unionByName(members.select(F.col("centre").alias("node"))).distinct()
-    weighted = materialise(weighted_nodes(docs, nodes, levels), "dup-weighted")
+    weighted = materialise(nodes_with_elements(docs, nodes, levels), "dup-weighted")
     known = materialise(measured(star, weighted), "dup-star")
-    linked = known.where(F.col("sim") >= threshold).select("a", "b")
-    roots = components(linked)
-    more = _further_links(members, known, roots, weighted, threshold)
-    edges = linked.unionByName(more)
-    return rows.select("doc_id", "node"), components(edges)
+    roots = materialise(components(known.where(F.col("sim") >= threshold)), "dup-roots")
+    more = materialise(_further_links(rows, members, known, roots, weighted, threshold), "dup-further")
+    joined = components(more).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    # Roots that the further links join; one without a star of its own is not among the roots yet.
+    every = roots.unionByName(joined.join(roots, F.col("__node") == F.col("node"), "left_anti").select(F.col("__node").alias("node"), F.col("__node").alias("root")))
+    final = every.join(joined, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    return rows.select("doc_id", "node"), materialise(final, "dup-classes")
 
 
-def _further_links(members: DataFrame, known: DataFrame, roots: DataFrame, weighted: DataFrame, threshold: float) -> DataFrame:
-    """Links within buckets that go beyond their centres, between different components."""
+def _further_links(rows: DataFrame, members: DataFrame, known: DataFrame, roots: DataFrame, weighted: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links within buckets beyond their centres, as roots of different components."""
     reach = 1 - threshold
-    told = members.join(known.withColumnRenamed("a", "centre").withColumnRenamed("b", "node"), ["centre", "node"])
-    told = told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = told.where(F.col("sim") < threshold).select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sim").alias("sim_a"))
-    left = materialise(left, "dup-left")
-    # What a left-over node can still be near to: other left-over nodes, and the star's own when it is close to the centre.
-    others = told.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sim").alias("sim_b"))
-    others = others.join(left.select("key").distinct(), "key", "left_semi")
-    once = (F.col("sim_b") >= threshold) | (F.col("a") < F.col("b"))
-    pairs = left.join(others, "key").where(once & (F.col("root_a") != F.col("root_b"))).where(F.abs(F.col("sim_a") - F.col("sim_b")) <= reach + 1e-9)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return measured(pairs, weighted).where(F.col("sim") >= threshold).select("a", "b")
+    told = members.join(known.select(F.col("a").alias("centre"), F.col("b").alias("node"), "sim"), ["centre", "node"])
+    told = materialise(told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dup-told")
+    open_ = told.where(F.col("sim") < threshold).select("key").distinct()
+    here = told.join(open_, "key", "left_semi")
+    wanted = here.select("node").distinct()
+    bands = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
+    full = bands.join(weighted, "node").withColumnRenamed("node", "__node")
+    here = here.select("key", "node", "root", "sim").join(full, F.col("node") == F.col("__node")).drop("__node")
+    earlier = F.expr("slice(bands, 1, array_position(bands, key) - 1)")
+    here = materialise(here.withColumn("earlier", earlier.cast("array<long>")).drop("bands"), "dup-here")
+    side = lambda df, s: df.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "sim", "earlier", "elements", "mass")])
+    left, other = side(here.where(F.col("sim") < threshold), "a"), side(here, "b")
+    near = (F.abs(F.col("sim_a") - F.col("sim_b")) <= reach + 1e-9) & ((F.col("sim_b") >= threshold) | (F.col("a") < F.col("b")))
+    first_bucket = ~F.arrays_overlap("earlier_a", "earlier_b")
+    shared = F.aggregate(F.array_intersect("elements_a", "elements_b"), F.lit(0).cast("long"), lambda s, e: s + e.bitwiseAND(F.lit(255)))
+    linked = shared.cast("double") * (1 + threshold) >= threshold * (F.col("mass_a") + F.col("mass_b")) - 1e-6
+    found = left.join(other, (left["key"] == other["key"]) & (F.col("root_a") != F.col("root_b")) & near & first_bucket & linked)
+    return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -318,7 +334,7 @@ def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = rows.where("node is not null").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     first = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("__first_id"), F.col("first.node").alias("__first_node"))
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.unhex(F.md5("text")).alias("__node"))
+    marked = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.unhex(F.md5("text")).alias("__node"))
     with_text = marked.where("__node is not null").join(first, F.col("__id").eqNullSafe(F.col("__first_id")) & (F.col("__node") == F.col("__first_node")), "left_semi")
     order = Window.partitionBy("__id", "__node").orderBy(F.lit(0))  # rows alike in both: one stays
     one = with_text.withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
