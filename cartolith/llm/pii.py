@@ -34,20 +34,24 @@ ROUNDS = 8
 _ANY = re.compile("[0-9@]")
 _EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
-_NUMBERS = re.compile(
-    r"""
-    (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<iso>(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-]))
-  | (?P<dmy>(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9]))
-  | (?P<mdy>(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/]))
-  | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
-  | (?P<ssn>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
-  | (?P<nanp>(?<![0-9+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|(?<![0-9])[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9\-]))
-  | (?P<phone>(?<![0-9+])\+(?!1[ .\-]?\()[1-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9]))
-  | (?P<card>(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-]))
-    """,
-    re.VERBOSE,
-)
+#: Where a value may begin: a digit, plus or bracket, or two capitals before digits.
+_START = re.compile(r"(?<![0-9])[0-9+(]|(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})")
+#: The shapes of values, in the order they are tried at a place.
+_SHAPES = [(kind, re.compile(shape)) for kind, shape in (
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+    ("iso", r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"),
+    ("dmy", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])"),
+    ("mdy", r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
+    ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
+    ("nanp", r"(?<![0-9+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9\-])"),
+    ("phone", r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ \-]?\(?[0-9]{1,5}\)?){2,5}(?![0-9]|\.[0-9])"),
+    ("phone", r"(?<![0-9+])\+[1-9][0-9]{0,2}[ \-]?[0-9]{2,5}[ \-]?[0-9]{4,9}(?![0-9]|\.[0-9])"),
+    ("card", r"(?<![0-9\-])[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9\-])"),
+    ("card", r"(?<![0-9\-])[0-9]{4}([ \-])[0-9]{6}\1[0-9]{5}(?![0-9\-])"),
+    ("card", r"(?<![0-9\-])[0-9]{13,19}(?![0-9\-])"),
+)]
 #: Values that a worker remembers.
 REMEMBERED = 200_000
 
@@ -149,12 +153,17 @@ def _ssn(f: Feistel, s: str, back: bool) -> str | None:
 
 
 def _nanp(f: Feistel, s: str, back: bool) -> str | None:
+    """Ten digits. Numbers that the plan doesn't assign count only when written as phone numbers, and stay such."""
     d = _digits(s)
     lead, d = d[:-10], d[-10:]
-    if d[0] in "01" or d[3] in "01":
+    assigned = lambda x: x[0] not in "01" and x[3] not in "01"
+    if not assigned(d) and not lead and "(" not in s:
         return None
-    new = _mixed(f, [int(d[0]) - 2, int(d[1:3]), int(d[3]) - 2, int(d[4:])], [8, 100, 8, 10**6], "nanp", back)
-    return _fill(s, f"{lead}{new[0] + 2}{new[1]:02d}{new[2] + 2}{new[3]:06d}")
+    x, kind = int(d), assigned(d)
+    while True:
+        x = f.permute(x, 10**10, "nanp", back)
+        if assigned(new := f"{x:010d}") == kind:
+            return _fill(s, lead + new)
 
 
 def _phone(f: Feistel, s: str, back: bool) -> str | None:
@@ -179,6 +188,8 @@ def _iban(f: Feistel, s: str, back: bool) -> str | None:
     return "".join(" " if c == " " else next(it) for c in s)
 
 
+#: Kinds that are told apart only by their shape.
+_NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "nanp": "phone"}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 
@@ -252,15 +263,19 @@ class Pseudonyms:
         if "@" in text:
             text = self._mails(text, found)
 
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup or ""
-            new = self._value(kind, m[0])
-            if new is None:
-                return m[0]
-            found["date" if kind in ("iso", "dmy", "mdy") else "phone" if kind == "nanp" else kind] += 1
-            return new
-
-        return _NUMBERS.sub(one, text), found
+        parts, done = [], 0
+        start = _START.search(text)
+        while start:
+            at = start.start()
+            for kind, shape in _SHAPES:
+                m = shape.match(text, at)
+                if m and (new := self._value(kind, m[0])) is not None:
+                    parts += [text[done:at], new]
+                    done = at = m.end()
+                    found[_NAMES.get(kind, kind)] += 1
+                    break
+            start = _START.search(text, max(at, start.end()))
+        return "".join([*parts, text[done:]]), found
 
     def _mails(self, text: str, found: Counter) -> str:
         parts, done, at = [], 0, text.find("@")

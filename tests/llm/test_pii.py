@@ -45,6 +45,13 @@ def test_values_are_replaced_in_their_format():
     assert pii.Pseudonyms(b"other").replace(TEXT)[0] != got
 
 
+@pytest.mark.parametrize("parts", [["4451718024887799", "27.65.93.188"], ["+1 (836) 555-9331", "4913187196670932", "53.121.55.90"], ["+49 30 1234567", "20.118.157.107"], ["4325 4048 9316 7225", "27.1.2.3", "2024-02-29"], ["+1 (139) 555-2766", "x"]])
+def test_neighbours_are_told_apart(parts):
+    got, kinds = P.replace(" ".join(parts))
+    assert sum(kinds.values()) == sum(any(c.isdigit() for c in p) for p in parts)
+    assert not any(p in got for p in parts if p != "x") and BACK.replace(got)[0] == " ".join(parts)
+
+
 def test_pseudonyms_are_valid():
     got, _ = P.replace(TEXT)
     cards = [re.sub(" ", "", c) for c in re.findall(r"[0-9]{16}|(?:[0-9]{4} ){3}[0-9]{4}(?=;)", got)][:2]

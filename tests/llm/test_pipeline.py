@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from cartolith.llm import mixing, queries, toxicity
 from cartolith.llm.common import materialise, table
+from cartolith.llm.pii import luhn_digit
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -55,6 +56,7 @@ def test_personal_data_is_replaced(stages):
     old, new = ({r.doc_id: r.text for r in d.collect()} for d in (before, after))
     assert old.keys() == new.keys() and all(len(old[k]) == len(new[k]) for k in old)
     values = [(k, v) for k, t in old.items() for v in re.findall(r"[a-z.0-9]+@[a-z0-9.]+|\+1 \(\d{3}\) \d{3}-\d{4}|\d{16}", t)]
+    values = [(k, v) for k, v in values if not v.isdigit() or luhn_digit(v[:-1]) == int(v[-1])]
     assert values and not any(v in new[k] for k, v in values)
     assert sum(old[k] == new[k] for k in old) > len(old) / 2
 
@@ -62,7 +64,9 @@ def test_personal_data_is_replaced(stages):
 def test_the_mix_has_its_tokens(stages):
     _, before, after = stages[3]
     count = lambda d: sum(len(re.findall(r"[^ \t\n\r]+", r.text)) for r in d.collect())
-    assert abs(count(after) - count(before)) < 0.2 * count(before)
+    longest = max(len(r.text.split()) for r in before.collect())
+    leaves = before.select("lang", "source").distinct().count()
+    assert abs(count(after) - count(before)) <= leaves * longest / 4  # at most one document a leaf reaches beyond its budget
     assert max(Counter(r.doc_id for r in after.collect()).values()) <= corpus_pipeline.EPOCHS
     assert mixing.NONE not in {r.lang for r in after.collect()}
 
