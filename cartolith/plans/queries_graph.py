@@ -563,10 +563,10 @@ def m01_line_distance(spark: S, d: str) -> DataFrame:
     return b.nodes(spark, d).select("id", F.round(g.line_distance(*x, F.col("lon"), F.col("lat")), 6).alias("dist"))
 
 
-@query("m02_simplification_score", "SELECT o_orderkey AS id, round(0.40::DOUBLE * (1 - (o_custkey % 50)::DOUBLE / 50) + 0.60::DOUBLE * (o_totalprice / 500000), 6) AS score FROM orders")
+@query("m02_simplification_score", "SELECT o_orderkey AS id, round(0.40::DOUBLE * (1 - (o_custkey % 50)::DOUBLE / 50) + 0.60::DOUBLE * (o_totalprice / 500000), 9) AS score FROM orders")
 def m02_simplification_score(spark: S, d: str) -> DataFrame:
     s = g.simplification_score((F.col("o_custkey") % 50).cast("double"), F.lit(50), F.col("o_totalprice"), F.lit(500000))
-    return b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(s, 6).alias("score"))
+    return b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(s, 9).alias("score"))
 
 
 @query("m03_tolerance", "SELECT event_id, coalesce(value / 1000000 / event_id > 0 AND value / 1000000 / event_id < 0.00001, false) AS inside FROM events WHERE event_id > 0")
