@@ -49,10 +49,11 @@ def cells(level: Column, prefix: str = "") -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def candidates(features: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """``fid, bid``: pairs whose boxes share a point, each once.
+def candidates(features: DataFrame, boundaries: DataFrame, sphere: bool = False) -> DataFrame:
+    """``fid, bid, inside_box``: pairs whose boxes share a point, each once.
 
-    ``features``: ``fid`` and a box; ``boundaries``: ``id`` and a box.
+    ``features``: ``fid`` and a box; ``boundaries``: ``id`` and a box. ``inside_box``: whether the
+    boundary's box holds the feature's (always true for the sphere, where it tells nothing).
     """
     box = ["xmin", "ymin", "xmax", "ymax"]
     b = boundaries.select(F.col("id").alias("bid"), *[F.col(c).alias(f"b_{c}") for c in box])
@@ -61,14 +62,15 @@ def candidates(features: DataFrame, boundaries: DataFrame) -> DataFrame:
     f = features.select("fid", *[F.col(c).alias(f"f_{c}") for c in box])
     levels = [r.level for r in b.select("level").distinct().collect()]  # at most LEVELS + 1 values
     if not levels:
-        return f.select("fid").withColumn("bid", F.lit(0).cast("long")).limit(0)
+        return f.select("fid", F.lit(0).cast("long").alias("bid"), F.lit(True).alias("inside_box")).limit(0)
     f = f.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
     f = f.withColumn("cell", F.explode(cells(F.col("level"), "f_")))
     # Of the cells that a pair shares, the first one speaks for it: no distinct is needed.
     size = F.pow(F.lit(2.0), F.col("level")) * FINEST
     first = lambda c: F.floor(F.greatest(F.col(f"f_{c}"), F.col(f"b_{c}")) / size).cast("int")
     own = (F.col("cell.cx") == first("xmin")) & (F.col("cell.cy") == first("ymin"))
-    return f.join(b, ["level", "cell"]).where(boxes_overlap("f_", "b_") & own).select("fid", "bid")
+    inside = F.lit(True) if sphere else F.expr("b_xmin <= f_xmin AND f_xmax <= b_xmax AND b_ymin <= f_ymin AND f_ymax <= b_ymax")
+    return f.join(b, ["level", "cell"]).where(boxes_overlap("f_", "b_") & own).select("fid", "bid", inside.alias("inside_box"))
 
 
 def feature_boxes(features: DataFrame) -> DataFrame:
@@ -134,31 +136,39 @@ class Feature:
         return True
 
 
-def decide(b: Boundary, f: Feature | None, kind: str = "way", tolerant: bool = False, touching_counts: bool = False) -> tuple[str, str]:
+def decide(b: Boundary, f: Feature | None, kind: str = "way", tolerant: bool = False, touching_counts: bool = False, inside_box: bool = True, within_only: bool = False) -> tuple[str, str]:
     """(``within``, ``intersects`` or ``none``; ``early accept``, ``early reject`` or ``regular``).
 
     ``touching_counts``: a way that meets the under-estimate is within (the golden profile).
+    ``inside_box``: whether the boundary's box holds the feature's; if not, it can't be within.
+    ``within_only``: whether it intersects isn't asked for.
     """
     if f is None:
         return "none", "early reject"
+    if not inside_box and not tolerant and not touching_counts:
+        return ("intersects" if f.intersects(b.exact) else "none"), "early reject"
     if b.under and (f.intersects(b.under) if touching_counts and kind == "way" else f.covered_by(b.under)):
         return "within", "early accept"
     reject = bool(b.over) and not f.covered_by(b.over)
     if reject and not tolerant:
-        return ("intersects" if f.intersects(b.over) and f.intersects(b.exact) else "none"), "early reject"
+        return ("intersects" if not within_only and f.intersects(b.over) and f.intersects(b.exact) else "none"), "early reject"
     if f.covered_by(b.exact) or (tolerant and f.nearly_covered_by(b.exact)):
         return "within", "regular"
-    return ("intersects" if f.intersects(b.exact) else "none"), "regular"
+    return ("intersects" if not within_only and f.intersects(b.exact) else "none"), "regular"
 
 
-def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touching_counts: bool = False) -> DataFrame:
+def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touching_counts: bool = False, within_only: bool = False) -> DataFrame:
     """``fid, bid, decision, path`` of each candidate pair that isn't the feature itself.
 
-    ``features`` as ``FEATURES``: ``self`` is the boundary id that the feature is (else null).
+    ``features`` as ``FEATURES``: ``self`` is the boundary id that the feature is (else null). In the
+    plane a feature whose box isn't inside the boundary's is never within, so with ``within_only``
+    such pairs don't leave the JVM; on the sphere edges bulge out of boxes and each pair is tested.
     """
     prepare(features.sparkSession)
     boxed = feature_boxes(features)
-    pairs = candidates(boxed, boundaries)
+    pairs = candidates(boxed, boundaries, sphere)
+    if within_only and not sphere:
+        pairs = pairs.where("inside_box")
     shapes = boundaries.select(F.col("id").alias("bid"), "exact", "over", "under")
     known = boundaries.select(F.col("id").alias("self"), F.lit(True).alias("is_boundary"))
     told = features.join(known, "self", "left").select("fid", "self", "kind", "points", "lines", "polygons", F.coalesce("is_boundary", F.lit(False)).alias("is_boundary"))
@@ -176,10 +186,10 @@ def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touc
                     last, ready = bid, Boundary(exact, over, under, sphere)
                 points, lines, polygons = (cols[k][i].as_py() for k in (4, 5, 6))
                 shape = ready.shape(ring_in(points), [ring_in(x) for x in lines], [polygon_in(p) for p in polygons])
-                out.append(decide(ready, shape, cols[2][i].as_py(), cols[3][i].as_py(), touching_counts))
+                out.append(decide(ready, shape, cols[2][i].as_py(), cols[3][i].as_py(), touching_counts, cols[10][i].as_py(), within_only))
             yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array([d for d, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["fid", "bid", "decision", "path"])
 
-    ordered = joined.select("fid", "bid", "kind", "is_boundary", "points", "lines", "polygons", "exact", "over", "under").sortWithinPartitions("bid")
+    ordered = joined.select("fid", "bid", "kind", "is_boundary", "points", "lines", "polygons", "exact", "over", "under", "inside_box").sortWithinPartitions("bid")
     return ordered.mapInArrow(refine, "fid string, bid long, decision string, path string")
 
 

@@ -658,7 +658,7 @@ def _way_features(spark: S, d: str) -> DataFrame:
 SELECT way_id, boxes.id AS bid FROM w JOIN boxes ON xmin <= x0 AND x1 <= xmax AND ymin <= y0 AND y1 <= ymax"""))
 def g13_lines_covered(spark: S, d: str) -> DataFrame:
     """Ways within boundaries; a box covers a way when it covers all its points."""
-    r = spatial.relate(_way_features(spark, d), b.boundaries(spark, d), sphere=False)
+    r = spatial.relate(_way_features(spark, d), b.boundaries(spark, d), sphere=False, within_only=True)
     return r.where("decision = 'within'").select(F.col("fid").cast("long").alias("way_id"), "bid")
 
 
@@ -709,7 +709,7 @@ def g32_collections_within(spark: S, d: str) -> DataFrame:
     f = rows.groupBy("rel_id").agg(F.collect_list(F.struct("lon", "lat")).alias("points")).select(
         F.col("rel_id").cast("string").alias("fid"), F.lit(None).cast("long").alias("self"), F.lit("relation").alias("kind"), "points",
         F.expr(f"CAST(array() AS ARRAY<{model.RING}>)").alias("lines"), F.expr(f"CAST(array() AS ARRAY<{model.POLYGON}>)").alias("polygons"))
-    return spatial.relate(f, b.boundaries(spark, d), sphere=False).where("decision = 'within'").select(F.col("fid").cast("long").alias("rel_id"), "bid")
+    return spatial.relate(f, b.boundaries(spark, d), sphere=False, within_only=True).where("decision = 'within'").select(F.col("fid").cast("long").alias("rel_id"), "bid")
 
 
 @query("g33_relation_triples", b.sql("""pairs AS (SELECT 'osmnode:' || nodes.id AS f, 'osmrel:' || boxes.id AS r FROM nodes JOIN boxes ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax)
