@@ -9,7 +9,7 @@ exact for the sphere.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -158,6 +158,48 @@ def place_in(p: Pt, mp: MultiPolygon) -> int:
     return best
 
 
+#: Below so many point-edge pairs plain loops are faster than arrays.
+_FEW = 400
+_BLOCK = 1_000_000
+
+
+def _places_in_ring(pts: np.ndarray, ring: Ring) -> np.ndarray:
+    """``place_in_ring`` of many points."""
+    e = np.hstack([np.asarray(ring[:-1], dtype=float), np.asarray(ring[1:], dtype=float)])
+    ax, ay, bx, by = e.T
+    dx, dy = bx - ax, by - ay
+    reach = EPS * np.maximum(1.0, np.maximum(np.abs(dx), np.abs(dy)))
+    out = np.empty(len(pts), dtype=np.int8)
+    step = max(1, _BLOCK // max(1, len(e)))
+    for k in range(0, len(pts), step):
+        x, y = pts[k : k + step, :1], pts[k : k + step, 1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = dx * (y - ay) / dy + ax
+        inside = (((ay > y) != (by > y)) & (x < at)).sum(1) % 2 == 1
+        on = np.abs(dx * (y - ay) - dy * (x - ax)) <= reach
+        on &= (x >= np.minimum(ax, bx) - EPS) & (x <= np.maximum(ax, bx) + EPS) & (y >= np.minimum(ay, by) - EPS) & (y <= np.maximum(ay, by) + EPS)
+        out[k : k + step] = np.where(on.any(1), 0, np.where(inside, 1, -1))
+    return out
+
+
+def places_in(points: Sequence[Pt], mp: MultiPolygon) -> np.ndarray:
+    """``place_in`` of many points."""
+    if len(points) * num_points(mp) < _FEW:
+        return np.array([place_in(p, mp) for p in points], dtype=np.int8)
+    pts = np.asarray(points, dtype=float).reshape(-1, 2)
+    best = np.full(len(pts), -1, dtype=np.int8)
+    for outer, inners in mp:
+        at = _places_in_ring(pts, outer)
+        for r in inners:
+            inside = np.flatnonzero(at == 1)
+            if not len(inside):
+                break
+            inner = _places_in_ring(pts[inside], r)
+            at[inside] = np.where(inner < 0, 1, np.where(inner == 0, 0, -1))
+        best = np.maximum(best, at)
+    return best
+
+
 def point_covered_by(p: Pt, mp: MultiPolygon) -> bool:
     return place_in(p, mp) >= 0
 
@@ -207,7 +249,7 @@ def _pieces(a: Pt, b: Pt, edges: np.ndarray) -> list[tuple[Pt, Pt]]:
     """ab cut at all places where it meets the edges."""
     cuts = {0.0, 1.0}
     ends: dict[float, Pt] = {0.0: a, 1.0: b}
-    for x1, y1, x2, y2 in _near(edges, a, b):
+    for x1, y1, x2, y2 in _near(edges, a, b).tolist():
         for t in meeting(a, b, (x1, y1), (x2, y2)):
             cuts.add(t)
             # A cut at an edge's end takes that very point, so that neighbours stay joined.
@@ -228,10 +270,11 @@ def line_covered_by(line: Sequence[Pt], mp: MultiPolygon) -> bool:
     """Whether all of a line lies in a multipolygon, its boundary allowed."""
     if not mp or not line:
         return False
-    if any(place_in(p, mp) < 0 for p in line):
+    if (places_in(line, mp) < 0).any():
         return False
     edges = _edge_arrays(mp)
-    return all(place_in(_mid(p, q), mp) >= 0 for a, b in zip(line, line[1:]) for p, q in _pieces(a, b, edges))
+    middles = [_mid(p, q) for a, b in zip(line, line[1:]) for p, q in _pieces(a, b, edges)]
+    return not middles or bool((places_in(middles, mp) >= 0).all())
 
 
 def polygon_covered_by(poly: Polygon, mp: MultiPolygon) -> bool:
@@ -245,13 +288,10 @@ def polygon_covered_by(poly: Polygon, mp: MultiPolygon) -> bool:
         return False
     x0, y0, x1, y1 = envelope(poly[0])
     own = _edge_arrays([poly])
-    for ring in rings(mp):
-        for a, b in zip(ring, ring[1:]):
-            if max(a[0], b[0]) < x0 or min(a[0], b[0]) > x1 or max(a[1], b[1]) < y0 or min(a[1], b[1]) > y1:
-                continue
-            if any(place_in(_mid(p, q), [poly]) > 0 for p, q in _pieces(a, b, own)):
-                return False
-    return True
+    e = _edge_arrays(mp)
+    e = e[(np.maximum(e[:, 0], e[:, 2]) >= x0) & (np.minimum(e[:, 0], e[:, 2]) <= x1) & (np.maximum(e[:, 1], e[:, 3]) >= y0) & (np.minimum(e[:, 1], e[:, 3]) <= y1)]
+    middles = [_mid(p, q) for a0, a1, b0, b1 in e.tolist() for p, q in _pieces((a0, a1), (b0, b1), own)]
+    return not middles or not (places_in(middles, [poly]) > 0).any()
 
 
 def multi_covered_by(a: MultiPolygon, b: MultiPolygon) -> bool:
@@ -262,10 +302,10 @@ def line_intersects(line: Sequence[Pt], mp: MultiPolygon) -> bool:
     """Whether a line and a multipolygon share a point."""
     if not mp or not line:
         return False
-    if any(place_in(p, mp) >= 0 for p in line):
+    if (places_in(line, mp) >= 0).any():
         return True
     edges = _edge_arrays(mp)
-    return any(meeting(a, b, (e[0], e[1]), (e[2], e[3])) for a, b in zip(line, line[1:]) for e in _near(edges, a, b))
+    return any(meeting(a, b, (e[0], e[1]), (e[2], e[3])) for a, b in zip(line, line[1:]) for e in _near(edges, a, b).tolist())
 
 
 def multi_intersects(a: MultiPolygon, b: MultiPolygon) -> bool:
@@ -289,24 +329,25 @@ def is_simple(ring: Ring) -> bool:
     """Whether a closed ring neither crosses nor touches itself."""
     if len(ring) < 4 or ring[0] != ring[-1] or len(set(ring[:-1])) != len(ring) - 1:
         return False
-    edges = np.hstack([np.asarray(ring[:-1]), np.asarray(ring[1:])])
-    n = len(edges)
+    return not any(True for _ in _self_meetings(ring))
+
+
+def _self_meetings(ring: Ring) -> Iterator[tuple[int, int]]:
+    """Pairs of a closed ring's edges that share more than the point between neighbours."""
+    pts = np.asarray(ring, dtype=float)
+    x0, x1 = np.minimum(pts[:-1, 0], pts[1:, 0]), np.maximum(pts[:-1, 0], pts[1:, 0])
+    y0, y1 = np.minimum(pts[:-1, 1], pts[1:, 1]), np.maximum(pts[:-1, 1], pts[1:, 1])
+    n = len(pts) - 1
     for i in range(n):
-        a, b = (edges[i, 0], edges[i, 1]), (edges[i, 2], edges[i, 3])
-        rest = edges[i + 1 :]
-        for j, e in zip(range(i + 1, n), rest):
-            if min(e[0], e[2]) > max(a[0], b[0]) or max(e[0], e[2]) < min(a[0], b[0]) or min(e[1], e[3]) > max(a[1], b[1]) or max(e[1], e[3]) < min(a[1], b[1]):
-                continue
-            met = meeting(a, b, (e[0], e[1]), (e[2], e[3]))
+        near = (x0[i + 1 :] <= x1[i]) & (x1[i + 1 :] >= x0[i]) & (y0[i + 1 :] <= y1[i]) & (y1[i + 1 :] >= y0[i])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            met = meeting(ring[i], ring[i + 1], ring[j], ring[j + 1])
             if j == i + 1:
-                if any(t < 1 - 1e-9 for t in met):
-                    return False
+                met = [t for t in met if t < 1 - 1e-9]
             elif i == 0 and j == n - 1:
-                if any(t > 1e-9 for t in met):
-                    return False
-            elif met:
-                return False
-    return True
+                met = [t for t in met if t > 1e-9]
+            if met:
+                yield i, j
 
 
 def is_valid(mp: MultiPolygon) -> bool:
@@ -576,10 +617,20 @@ def without_crossings(ring: Ring) -> Ring:
 
 def _crossing(ring: Ring) -> tuple[int, int] | None:
     n = len(ring) - 1
-    for i in range(n):
-        for j in range(i + 2, n):
-            if i == 0 and j == n - 1:
-                continue
-            if meeting(ring[i], ring[i + 1], ring[j], ring[j + 1]):
-                return i, j
-    return None
+    return next(((i, j) for i, j in _self_meetings(ring) if j > i + 1 and not (i == 0 and j == n - 1)), None)
+
+
+def kept_valid(points: Sequence[Pt], lines: Sequence[Ring], polygons: Sequence[Polygon]) -> tuple[list[Pt], list[Ring], list[Polygon]]:
+    """The valid elements of a collection; a polygon that isn't valid as it is, is tried corrected.
+
+    Points are finite, lines have two different points, polygons simple rings with holes inside.
+    """
+    finite = lambda p: math.isfinite(p[0]) and math.isfinite(p[1])
+    good_lines = [x for x in lines if all(map(finite, x)) and len(set(x)) > 1]
+    good_polygons = []
+    for p in polygons:
+        if is_valid([p]):
+            good_polygons.append(p)
+        elif p[0] and is_valid([fixed := correct((drop_repeats(p[0]), [drop_repeats(r) for r in p[1]]))]):
+            good_polygons.append(fixed)
+    return [p for p in points if finite(p)], good_lines, good_polygons

@@ -73,13 +73,16 @@ def relation_geometries(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags, pts, outs, ins = (batch.column(i).to_pylist() for i in range(5))
-            wkts, lines, polys = [], [], []
+            wkts, points, lines, polys = [], [], [], []
             for p, o, i in zip(pts, outs, ins):
                 w, ls, ps = relation_geometry(ring_in(p), [ring_in(x) for x in o], [ring_in(x) for x in i])
                 wkts.append(w)
+                # The text has every element; what takes part in spatial relations has to be valid.
+                good, ls, ps = g.kept_valid(ring_in(p), ls, ps)
+                points.append(ring_out(good))
                 lines.append([ring_out(x) for x in ls])
                 polys.append([polygon_out(x) for x in ps])
-            cols = [batch.column(0), batch.column(1), pa.array(wkts, pa.string()), pa.array(pts, _RING), pa.array(lines, pa.list_(_RING)), pa.array(polys, pa.list_(_POLYGON))]
+            cols = [batch.column(0), batch.column(1), pa.array(wkts, pa.string()), pa.array(points, _RING), pa.array(lines, pa.list_(_RING)), pa.array(polys, pa.list_(_POLYGON))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "has_tag", "wkt", "points", "lines", "polygons"])
 
     return parts.select("rel_id", "has_tag", "points", "outers", "inners").mapInArrow(run, GEOMETRIES)

@@ -130,3 +130,28 @@ def test_gnomonic_keeps_great_circles_straight():
     pa, pb, pm = p.points([a, b, mid])
     assert abs(g.cross(pa, pb, pm)) < 1e-15
     assert p.points([(188.5, -50.5)]) is None
+
+
+def test_many_points_as_one():
+    rnd = random.Random(3)
+    for seed in range(20):
+        a, b = star(rnd, 0, 0, 30), star(rnd, 0.1, 0, 8)
+        mp = [a, star(rnd, 5, 0, 12)] if seed % 2 else [(a[0], [[(x / 5, y / 5) for x, y in b[0]]])]
+        pts = [(rnd.uniform(-2, 7), rnd.uniform(-2, 2)) for _ in range(60)] + a[0] + mp[-1][0]
+        assert g.places_in(pts, mp).tolist() == [g.place_in(p, mp) for p in pts]
+
+
+def test_only_valid_elements_take_part():
+    bow = ([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)], [])
+    open_box = ([(0, 0), (0, 1), (1, 1), (1, 0)], [])
+    points, lines, polygons = g.kept_valid([(0, 0), (math.nan, 1)], [[(0, 0), (0, 0)], [(0, 0), (1, 1)]], [bow, box(0, 0, 1, 1), open_box])
+    assert points == [(0, 0)] and lines == [[(0, 0), (1, 1)]] and [len(p[0]) for p in polygons] == [5, 5]
+
+
+def test_large_rings_are_quick():
+    import time
+
+    ring = wavy(5000, random.Random(1))
+    start = time.process_time()
+    assert g.is_simple(ring) == g.is_simple(ring[::-1]) and g.polygon_covered_by(([(10 + (x - 10) / 2, 10 + (y - 10) / 2) for x, y in ring], []), [(ring, [])])
+    assert time.process_time() - start < 20
