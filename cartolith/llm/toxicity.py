@@ -96,6 +96,29 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+class _Rows:
+    """Documents' kept features, worked through in blocks, so that no copy of them all is made."""
+
+    def __init__(self, docs: list[np.ndarray], place: np.ndarray, block: int = 500):
+        self.n = len(docs)
+        self._blocks = []
+        for at in range(0, self.n, block):
+            cols = [place[d] for d in docs[at : at + block]]
+            cols = [c[c >= 0] for c in cols]
+            self._blocks.append((at, np.array([len(c) for c in cols]), np.concatenate(cols)))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of each document's weights."""
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), w[cols], len(n)) for _, n, cols in self._blocks])
+
+    def gathered(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The sum of a document value over the documents of each feature."""
+        out = np.zeros(k)
+        for at, n, cols in self._blocks:
+            out += np.bincount(cols, np.repeat(x[at : at + len(n)], n), k)
+        return out
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.15, shrink: float = 3e-4, full_shrink: int = 1_500, least_documents: int = 3) -> Model:
     """Fits the model by proximal gradient steps on the non-negative risk (Adam scaling).
 
@@ -104,32 +127,28 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """
     if not positive or not unlabelled:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
-    seen = np.bincount(np.concatenate(positive), minlength=FEATURES)
+    seen = np.zeros(FEATURES, dtype=np.int32)
+    for d in positive:
+        seen[d] += 1
     kept = np.flatnonzero(seen >= least_documents)
-    place = np.full(FEATURES, -1, dtype=np.int64)
-    place[kept] = np.arange(len(kept))
-
-    def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place[d] for d in docs]
-        cols = [c[c >= 0] for c in cols]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
-
-    (pr, pc), (ur, uc) = rows(positive), rows(unlabelled)
+    place = np.full(FEATURES, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    del seen
     n_p, n_u, k = len(positive), len(unlabelled), len(kept)
     shrink *= max(1.0, full_shrink / n_p) ** 0.5
+    pos, unl = _Rows(positive, place), _Rows(unlabelled, place)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        zp = bias + np.bincount(pr, w[pc], n_p)
-        zu = bias + np.bincount(ur, w[uc], n_u)
+        zp, zu = bias + pos.times(w), bias + unl.times(w)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         to_neg_u, to_neg_p = sigmoid(zu) / n_u, -prior * sigmoid(zp) / n_p
         if negative >= 0:
             gp, gu = -prior * sigmoid(-zp) / n_p + to_neg_p, to_neg_u
         else:
             gp, gu = -to_neg_p, -to_neg_u
-        g = np.bincount(pc, gp[pr], k) + np.bincount(uc, gu[ur], k)
+        g = pos.gathered(gp, k) + unl.gathered(gu, k)
         gb = float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -168,10 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, prior: float | No
             found = [features_of(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["y", "features"])
 
-    sample = confirmed.unionByName(others).mapInArrow(featurise, "y int, features binary").toArrow()
-    sets = sorted((y, f) for y, f in zip(sample.column("y").to_pylist(), sample.column("features").to_pylist()))
-    read = lambda want: [np.frombuffer(f, dtype=np.int32) for y, f in sets if y == want]
-    return train(read(1), read(0), prior)
+    sample = confirmed.unionByName(others).mapInArrow(featurise, "y int, features binary").toArrow().combine_chunks()
+    y = sample.column("y").to_numpy()
+    # Views of the received buffer, in an order that doesn't depend on how tasks ended.
+    sets = [np.frombuffer(f.as_buffer(), dtype=np.int32) if f.as_buffer().size else np.empty(0, np.int32) for f in sample.column("features")]
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), zlib.crc32(sets[i])))
+    model = train([sets[i] for i in order if y[i] == 1], [sets[i] for i in order if y[i] == 0], prior)
+    del sample, sets, y
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
