@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Sequence
 
+from py4j.java_gateway import JavaGateway
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 #: Rows of an Arrow batch that goes to a Python worker, unless the session says otherwise.
 BATCH_ROWS = 512
 
+_homes: set[str] = set()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
@@ -30,8 +36,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table of this run."""
-    return f"{scratch_root(spark)}/cartolith-{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table of this application; its tables go when the driver ends."""
+    home = f"{scratch_root(spark)}/cartolith-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_remove, spark.sparkContext._gateway, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(gateway: JavaGateway, path: str) -> None:
+    """Deletes a folder in whatever store it is; a driver whose JVM is gone leaves it."""
+    with contextlib.suppress(Py4JError, OSError):
+        hadoop = gateway.jvm.org.apache.hadoop
+        where = hadoop.fs.Path(path)
+        where.getFileSystem(hadoop.conf.Configuration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
