@@ -18,6 +18,7 @@ from cartolith import model
 from cartolith.functions.columns import is_closed, way_wkt
 from cartolith.functions.text import triple_line
 from cartolith.operators import assemble, cluster, resolve, spatial, tags
+from cartolith.progress import step
 from cartolith.scratch import materialise
 from cartolith.sources import osm_pbf, osm_xml, turtle
 
@@ -48,7 +49,8 @@ class Conversion:
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
-            self._made[name] = materialise(make(), name)
+            with step(name):
+                self._made[name] = materialise(make(), name)
         return self._made[name]
 
     # ------------------------------------------------------------ tables
@@ -199,5 +201,6 @@ def convert(spark: SparkSession, source: str, target: str, profile: str = "defau
     c = Conversion(extract, profile)
     if only_stats:
         return counts | {"lines": c.lines().count(), "clusters": c.clusters().select("cluster_id").distinct().count(), "boundaries": c.boundaries().count()}
-    turtle.write_turtle(spark, c.lines(), target, compression)
+    with step("write"):
+        turtle.write_turtle(spark, c.lines(), target, compression)
     return counts

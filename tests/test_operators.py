@@ -114,3 +114,15 @@ def test_command_line(tmp_path, capsys):
         with pytest.raises(SystemExit):
             cli.parse(bad)
     capsys.readouterr()
+
+
+def test_steps_are_logged(caplog):
+    from cartolith.progress import Timer, step
+
+    with caplog.at_level("INFO", logger="cartolith"), step("sorting"):
+        pass
+    assert [m.split(":")[0] for m in caplog.messages] == ["sorting ...", "sorting"]
+    t = Timer()
+    t.tick()
+    first = t.tock()
+    assert t.tock() == first >= 0
