@@ -41,7 +41,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +58,8 @@ TABLE_BITS = 18
 UNIT = 250
 POOL_BITS = 14
 SEED = 7
-REMEMBERED = 400_000
-_WORD = re.compile(r"\w+")
-_MASK = (1 << 64) - 1
-
-_hashes: dict[str, int] = {}
+#: Characters beyond ASCII that belong to no word.
+_NO_WORD = re.compile(r"[^\x00-\x7f\w]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,18 +69,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(whether a byte belongs to a word, a random 64-bit number for it)."""
+    word = np.array([b >= 0x80 or chr(b).isalnum() or b == ord("_") for b in range(256)])
+    return word, np.random.default_rng(SEED + 2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(3)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(size, x, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of a text."""
+    """A 64-bit hash for each word of a text, in order.
+
+    The hash of all words at once: sums of the bytes' random numbers times powers of their places
+    are taken up to each word's ends, and the difference is moved to the word's start.
+    """
     if not text:
         return np.empty(0, np.uint64)
-    memo = _hashes
-    if len(memo) > REMEMBERED:
-        memo.clear()
-    words = _WORD.findall(text.lower())
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w)
-    return np.array([memo[w] for w in words], dtype=np.uint64)
+    text = text.lower()
+    if not text.isascii():
+        text = _NO_WORD.sub(" ", text)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    is_word, numbers = _byte_tables()
+    edge = np.diff(is_word[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(max(1 << 17, 1 << len(data).bit_length()))
+    total = np.empty(len(data) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(numbers[data] * up[: len(data)], out=total[1:])
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +217,25 @@ def band_keys(docs: list[np.ndarray]) -> list[np.ndarray]:
     starts = np.cumsum([0] + [len(docs[i]) for i in full[:-1]])
     h = np.concatenate([docs[i] for i in full]).view(np.uint64)
     weights, row = np.unique((h & np.uint64(255)).astype(np.uint8), return_inverse=True)
-    table = np.concatenate([_row_of_weight(int(v)) for v in weights])
-    base = (row << POOL_BITS).astype(np.int32)
+    # A draw's a in the high bits; equal ones are told apart by the element's own bits.
+    table = np.concatenate([_row_of_weight(int(v)) for v in weights]).astype(np.uint64) << np.uint64(32)
+    base = row.astype(np.int64) << POOL_BITS
     multipliers, addends = _sample_hashes()
     keys = np.empty((len(full), BANDS), dtype=np.uint64)
+    x, place, drawn = (np.empty(len(h), dtype=np.uint64) for _ in range(3))
+    at = place.view(np.int64)
     for band in range(BANDS):
         key = np.full(len(full), band, dtype=np.uint64)
         for s in range(band * ROWS, (band + 1) * ROWS):
-            x = h * multipliers[s] + addends[s]
-            drawn = table[base + (x >> np.uint64(64 - POOL_BITS)).astype(np.int32)].astype(np.uint64)
-            # The draw's a in the high bits; equal ones are told apart by the element's own bits.
-            x = (drawn << np.uint64(32)) | ((x >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+            np.multiply(h, multipliers[s], out=x)
+            np.add(x, addends[s], out=x)
+            np.right_shift(x, np.uint64(64 - POOL_BITS), out=place)
+            np.add(at, base, out=at)
+            np.take(table, at, out=drawn, mode="clip")
+            np.right_shift(x, np.uint64(16), out=x)
+            np.bitwise_and(x, np.uint64(0xFFFFFFFF), out=x)
+            np.bitwise_or(drawn, x, out=drawn)
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(drawn, starts))
         keys[:, band] = key
     for i, k in zip(full, keys.view(np.int64)):
         out[i] = k

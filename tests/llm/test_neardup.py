@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,21 @@ def test_common_shingles_weigh_less():
     table[5], table[6] = 100_000, 3_000
     levels = n.idf_levels(table, 100_000)
     assert levels[5] == n.IDF_STEPS and 0 < levels[6] < n.IDF_STEPS and levels[7] == 0
+
+
+def test_words_and_their_hashes():
+    """As many hashes as words, equal for equal words only, wherever they stand."""
+    rnd = random.Random(12)
+    letters = list("ab cd_1 É é ß\u0301 \u2019\u00ab\u4e2d \xa0,.\n\t") + ["\ud800"]
+    seen = {}
+    for _ in range(3000):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randrange(40)))
+        words = re.findall(r"\w+", t.lower())
+        h = n.word_hashes(t).tolist()
+        if "\ud800" not in t:
+            assert len(h) == len(words)
+            for w, x in zip(words, h):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) > 500
+    long = helpers.words(rnd, 60_000)
+    assert n.word_hashes(long)[-1] == n.word_hashes(long.split()[-1])[0]
