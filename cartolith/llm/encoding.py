@@ -83,7 +83,7 @@ class MemoEncoder:
     old one, and what is asked for again moves back to the young one.
     """
 
-    def __init__(self, path: str, most_parts: int = 400_000, longest_part: int = 48):
+    def __init__(self, path: str, most_parts: int = 250_000, longest_part: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
