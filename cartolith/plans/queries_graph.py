@@ -705,7 +705,7 @@ def g29_grid_cells(spark: S, d: str) -> DataFrame:
 SELECT rel_id, boxes.id AS bid FROM w JOIN boxes ON xmin <= x0 AND x1 <= xmax AND ymin <= y0 AND y1 <= ymax"""))
 def g32_collections_within(spark: S, d: str) -> DataFrame:
     """Relations of points: within a boundary when every point is."""
-    rows = resolve.member_ways(b.members(spark, d).where("ord < 2"), _coords(spark, d).where("ord < 2"))
+    rows = resolve.member_ways(b.members(spark, d), _coords(spark, d))
     f = rows.groupBy("rel_id").agg(F.collect_list(F.struct("lon", "lat")).alias("points")).select(
         F.col("rel_id").cast("string").alias("fid"), F.lit(None).cast("long").alias("self"), F.lit("relation").alias("kind"), "points",
         F.expr(f"CAST(array() AS ARRAY<{model.RING}>)").alias("lines"), F.expr(f"CAST(array() AS ARRAY<{model.POLYGON}>)").alias("polygons"))
