@@ -39,3 +39,25 @@ def test_relations_are_within_by_all_of_their_points(spark, tmp_path):
     )
     # Relation 2 leaves the box by its third way, relation 3 by the third point of its way.
     assert [(r.rel_id, r.bid) for r in run(spark, "g32_collections_within", d).collect()] == [(1, 0)]
+
+
+def test_components_of_all_links(spark):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        a, b = sorted((find(r.l_partkey), find(r.l_suppkey + 10000000)))
+        root[b] = a
+    got = {r.node: r.root for r in run(spark, "r06_components").collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_components_stay_apart(spark, tmp_path):
+    d = tables(spark, tmp_path, lineitem=(LINE, [line(1, 1, 1), line(1, 2, 1), line(2, 3, 2, quantity=50.0), line(3, 4, 2), line(4, 5, 3)]))
+    got = {r.node: r.root for r in run(spark, "r06_components", d).collect()}
+    assert got == {1: 1, 2: 1, 10000001: 1, 3: 3, 4: 3, 10000002: 3, 5: 5, 10000003: 5}
