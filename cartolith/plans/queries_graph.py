@@ -203,7 +203,7 @@ def a34_semi_ways(spark: S, d: str) -> DataFrame:
 
 @query("a35_semi_nodes", b.sql("-- select\nSELECT id FROM nodes WHERE id IN (SELECT ref FROM way_refs WHERE way_id < 500)"))
 def a35_semi_nodes(spark: S, d: str) -> DataFrame:
-    return resolve.used_nodes(b.nodes(spark, d), b.way_refs(spark, d).where("way_id < 500")).select("id")
+    return resolve.used_nodes(b.nodes(spark, d), b.way_refs(spark, d)).select("id")
 
 
 _CLUSTERS = """pairs AS (SELECT DISTINCT name, ref, way_id FROM named_refs),

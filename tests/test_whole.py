@@ -61,3 +61,8 @@ def test_components_stay_apart(spark, tmp_path):
     d = tables(spark, tmp_path, lineitem=(LINE, [line(1, 1, 1), line(1, 2, 1), line(2, 3, 2, quantity=50.0), line(3, 4, 2), line(4, 5, 3)]))
     got = {r.node: r.root for r in run(spark, "r06_components", d).collect()}
     assert got == {1: 1, 2: 1, 10000001: 1, 3: 3, 4: 3, 10000002: 3, 5: 5, 10000003: 5}
+
+
+def test_nodes_of_all_ways(spark, tmp_path):
+    d = tables(spark, tmp_path, part=(PART, [part(k) for k in (1, 2, 3)]), lineitem=(LINE, [line(1, 1), line(500, 2), line(500, 2, number=2)]))
+    assert sorted(r.id for r in run(spark, "a35_semi_nodes", d).collect()) == [1, 2]
