@@ -526,6 +526,9 @@ _RULE_TAGS = [
     ("wikipedia:note", "url"), ("wikimedia_commons", "url"), ("is_in", "'a ' || page_id || ';b;' || page_id"), ("website", "url"), ("note:website", "url"), ("contact.site", "replace(url, 'https://', 'www.')"), ("name", "substr(html, 1, 200)"),
 ]
 
+#: The same with whole pages.
+_WHOLE_TAGS = [*_RULE_TAGS[:-1], ("name", "html")]
+
 
 def _rule_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT page_id, {i} AS ord, '{k}' AS k, {v} AS v FROM pages" for i, (k, v) in enumerate(_RULE_TAGS))
@@ -548,8 +551,8 @@ SELECT 'osmnode:' || page_id AS s, 'osmt:' || k AS p, unnest(os) AS o FROM objec
 
 @query("t01_tag_triples", _rule_sql())
 def t01_tag_triples(spark: S, d: str) -> DataFrame:
-    """All tag rules."""
-    values = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(v.replace("page_id ||", "CAST(page_id AS STRING) ||").replace("|| page_id", "|| CAST(page_id AS STRING)")).alias("v")) for k, v in _RULE_TAGS])
+    """All tag rules, on whole texts."""
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(v.replace("page_id ||", "CAST(page_id AS STRING) ||").replace("|| page_id", "|| CAST(page_id AS STRING)")).alias("v")) for k, v in _WHOLE_TAGS])
     return tags.tag_triples(b.table(spark, d, "pages").select(F.col("page_id").alias("id"), values.alias("tags")), "osmnode:")
 
 

@@ -66,3 +66,11 @@ def test_components_stay_apart(spark, tmp_path):
 def test_nodes_of_all_ways(spark, tmp_path):
     d = tables(spark, tmp_path, part=(PART, [part(k) for k in (1, 2, 3)]), lineitem=(LINE, [line(1, 1), line(500, 2), line(500, 2, number=2)]))
     assert sorted(r.id for r in run(spark, "a35_semi_nodes", d).collect()) == [1, 2]
+
+
+def test_tags_of_whole_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    escaped = lambda v: v.replace("\\", "\\\\").replace("\t", "\\t").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
+    got = {r.s: r.o for r in run(spark, "t01_tag_triples").where("p = 'osmt:name'").collect()}
+    assert got == {f"osmnode:{p.page_id}": f'"{escaped(p.html)}"' for p in pages}
+    assert max(len(p.html) for p in pages) > 200
