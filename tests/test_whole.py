@@ -74,3 +74,8 @@ def test_tags_of_whole_pages(spark):
     got = {r.s: r.o for r in run(spark, "t01_tag_triples").where("p = 'osmt:name'").collect()}
     assert got == {f"osmnode:{p.page_id}": f'"{escaped(p.html)}"' for p in pages}
     assert max(len(p.html) for p in pages) > 200
+
+
+def test_skip_set_of_all_ways(spark, tmp_path):
+    d = tables(spark, tmp_path, part=(PART, [part(k) for k in (1, 2, 3)]), lineitem=(LINE, [line(1, 1), line(2, 2)]))
+    assert [r.id for r in run(spark, "a74_skip_set", d).collect()] == [3]
