@@ -7,8 +7,9 @@ valid value of the same format and length, equal values get equal pseudonyms in
 different ones never collide, and the key's holder can go back.
 
 Kinds: e-mail (local part, letter by letter and digit by digit), IPv4, phone numbers (North
-American plan, and ``+`` with a country code), payment cards, US social security numbers, IBANs,
-dates (``2024-02-29``, ``29.02.2024``, ``02/29/2024``; from 1900 to 2099). Other digits stay.
+American plan, and ``+`` with a country code), payment cards, US social security numbers, IBANs
+(of groups that follow each other, the length that the country fixes, else the longest run that
+passes its check), dates (``2024-02-29``, ``29.02.2024``, ``02/29/2024``; from 1900 to 2099). Other digits stay.
 
 Edge cases: a null text stays null with 0 values; repeated rows and equal texts give equal
 results; a null ``doc_id`` and extra columns, whatever their names, stay as they are; an empty
@@ -52,6 +53,13 @@ _SHAPES = [(kind, re.compile(shape)) for kind, shape in (
     ("card", r"(?<![0-9\-])[0-9]{4}([ \-])[0-9]{6}\1[0-9]{5}(?![0-9\-])"),
     ("card", r"(?<![0-9\-])[0-9]{13,19}(?![0-9\-])"),
 )]
+#: The characters of an IBAN, by country.
+_IBAN_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
 #: Values that a worker remembers.
 REMEMBERED = 200_000
 
@@ -174,6 +182,15 @@ def _phone(f: Feistel, s: str, back: bool) -> str | None:
     return _fill(s, d[:3] + "".join(map(str, new)))
 
 
+def _iban_runs(s: str) -> list[str]:
+    """The runs of groups that an IBAN in groups may be: the length its country fixes, then the longest first."""
+    runs = [s]
+    while " " in runs[-1]:
+        runs.append(runs[-1].rpartition(" ")[0])
+    size = _IBAN_SIZES.get(s[:2])
+    return sorted((r for r in runs if len(r.replace(" ", "")) >= 15), key=lambda r: len(r.replace(" ", "")) != size)
+
+
 def _iban(f: Feistel, s: str, back: bool) -> str | None:
     plain = s.replace(" ", "")
     number = lambda t: int("".join(str(int(c, 36)) for c in t))
@@ -269,9 +286,10 @@ class Pseudonyms:
             at = start.start()
             for kind, shape in _SHAPES:
                 m = shape.match(text, at)
-                if m and (new := self._value(kind, m[0])) is not None:
+                runs = [] if not m else _iban_runs(m[0]) if kind == "iban" else [m[0]]
+                if new := next((v for r in runs if (v := self._value(kind, r)) is not None), None):
                     parts += [text[done:at], new]
-                    done = at = m.end()
+                    done = at = at + len(new)
                     found[_NAMES.get(kind, kind)] += 1
                     break
             start = _START.search(text, max(at, start.end()))
