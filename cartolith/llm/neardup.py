@@ -158,23 +158,31 @@ def idf_levels(table: np.ndarray, n: int) -> np.ndarray:
     return np.where(df < 20, 0, np.round(fallen * IDF_STEPS)).astype(np.uint8)
 
 
+@lru_cache(32)
+def _increments(level: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For an idf step, the occurrences up to ``most`` that add to the rounded weight, and what each adds."""
+    k = np.arange(1, most + 1)
+    running = np.round((1 - (1 - IDF_FLOOR) * level / IDF_STEPS) * UNIT * (1 + np.log(k))).astype(np.int64)
+    more = np.diff(running, prepend=0)
+    return k[more > 0], more[more > 0].astype(np.uint64)
+
+
 def elements_of(text: str | None, levels: np.ndarray) -> np.ndarray:
     """The elements of a text, ascending; the low eight bits are the weight."""
     h, tf = shingles(text)
     if not len(h):
         return np.empty(0, np.int64)
-    idf = (1 - (1 - IDF_FLOOR) * levels[slot_of(h)] / IDF_STEPS) * UNIT
-    parts, k, left = [(h, np.round(idf))], 2, tf > 1
-    while left.any():
-        h, tf, idf = h[left], tf[left], idf[left]
-        more = np.round(idf * np.log(k / (k - 1)))
-        if not more.any():
-            break
-        parts.append((_mix(h + np.uint64(k)), more))
-        k += 1
-        left = tf >= k
-    every = np.concatenate([(x & np.uint64(0xFFFFFFFFFFFFFF00)) | w.astype(np.uint64) for x, w in parts])
-    return np.unique(every[every & np.uint64(255) > 0]).view(np.int64)
+    steps, parts = levels[slot_of(h)], []
+    for level in np.unique(steps):
+        at = steps == level
+        x, most = h[at], tf[at]
+        ks, adds = _increments(int(level), 1 << int(most.max() - 1).bit_length())
+        n = np.searchsorted(ks, most, "right")
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, k = np.repeat(x, n), ks[place].astype(np.uint64)
+        x = np.where(k > 1, _mix(x + k), x)
+        parts.append((x & np.uint64(0xFFFFFFFFFFFFFF00)) | adds[place])
+    return np.unique(np.concatenate(parts)).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -124,3 +124,15 @@ def test_words_and_their_hashes():
     assert len(set(seen.values())) == len(seen) > 500
     long = helpers.words(rnd, 60_000)
     assert n.word_hashes(long)[-1] == n.word_hashes(long.split()[-1])[0]
+
+
+def test_weights_follow_the_logarithm_without_end():
+    line = "one and the same line "
+    for level in (0, n.IDF_STEPS):
+        levels = np.full(1 << n.TABLE_BITS, level, dtype=np.uint8)
+        idf = 1 - (1 - n.IDF_FLOOR) * level / n.IDF_STEPS
+        few, many = (n.elements_of(line * times, levels) for times in (600, 60_000))
+        for e, times in ((few, 600), (many, 60_000)):
+            h, tf = n.shingles(line * times)
+            assert abs(int((e & 255).sum()) - sum(idf * n.UNIT * (1 + np.log(tf)))) <= len(h)
+        assert 0.6 < n.similarity(few, many) < 0.65
