@@ -33,7 +33,9 @@ from cartolith.llm.common import map_rows, prepare
 
 ROUNDS = 8
 _ANY = re.compile("[0-9@]")
-_EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
+_EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Longer local parts are permuted in pieces of this length.
+_EMAIL_PIECE = 64
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 #: Where a value may begin: a digit, plus or bracket, or two capitals before digits.
 _START = re.compile(r"(?<![0-9])[0-9+(]|(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})")
@@ -238,6 +240,9 @@ def _form(parts: list[str]) -> tuple:
 
 
 def _email(f: Feistel, local: str, host: str, back: bool) -> str:
+    if len(local) > _EMAIL_PIECE:
+        pieces = range(0, len(local), _EMAIL_PIECE)
+        return "".join(_email(f, local[i : i + _EMAIL_PIECE], f"{host}#{len(local)}#{i}", back) for i in pieces)
     radices, digits, shape = [], [], []
     for c in local:
         low = c.lower()
@@ -299,8 +304,10 @@ class Pseudonyms:
         parts, done, at = [], 0, text.find("@")
         while at >= 0:
             host = _EMAIL_HOST.match(text, at + 1)
-            local = _EMAIL_LOCAL.search(text[max(done, at - 64) : at]) if host else None
-            local_text = local[0].lstrip(".%+-") if local else ""
+            begin = at
+            while host and begin > done and text[begin - 1] in _EMAIL_LOCAL:
+                begin -= 1
+            local_text = text[begin:at].lstrip(".%+-")
             if host and local_text:
                 parts += [text[done : at - len(local_text)], self._mail(local_text, host[0].lower())]
                 done = at

@@ -114,3 +114,12 @@ def test_ibans_before_groups_go_back():
         text = f"BE68 5390 0754 7034 {i:04d}"
         assert BACK.replace(P.replace(text)[0])[0] == text
     assert P.replace("BE69 5390 0754 7034 BIC") == ("BE69 5390 0754 7034 BIC", {})
+
+
+@pytest.mark.parametrize("size", [64, 65, 200, 100_000])
+def test_long_local_parts_are_replaced_whole(size):
+    local = ("first.last" * size)[:size]
+    text = f"to ..{local}@x.org, a@b.org"
+    got, kinds = P.replace(text)
+    assert len(got) == len(text) and kinds["email"] == 2 and BACK.replace(got)[0] == text
+    assert got[5:15] != local[:10] and got[:5] == "to .." and got.index("@") == text.index("@")
