@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.scratch import materialise
+from cartolith.scratch import discard, materialise_at
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -19,10 +19,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
     Edges may repeat, point either way, or be loops (a node with only a loop is left out).
     """
     e = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u != v").distinct()
-    e = materialise(e, "edges", "snappy")
+    e, path = materialise_at(e, "edges", "snappy")
     told = _fingerprint(e)
     for _ in range(most_rounds):
-        e = materialise(_small_star(_large_star(e)), "stars", "snappy")
+        before = path
+        e, path = materialise_at(_small_star(_large_star(e)), "stars", "snappy")
+        discard(e.sparkSession, before)
         now = _fingerprint(e)
         if now == told:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -54,12 +56,14 @@ def successors(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Cycles are fine: a round that adds nothing ends it. A node on a cycle is its own ancestor.
     """
-    reach = materialise(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "reach", "snappy")
+    reach, path = materialise_at(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "reach", "snappy")
     n = reach.count()
     for _ in range(most_rounds):
         step = reach.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"))
         longer = reach.join(step, "ancestor").select("child", F.col("further").alias("ancestor"))
-        reach = materialise(reach.unionByName(longer).distinct(), "reach", "snappy")
+        before = path
+        reach, path = materialise_at(reach.unionByName(longer).distinct(), "reach", "snappy")
+        discard(reach.sparkSession, before)
         if (now := reach.count()) == n:
             return reach
         n = now

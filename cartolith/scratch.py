@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
-#: Rows of an Arrow batch that goes to a Python worker, unless the session says otherwise.
+#: Rows and bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 _homes: set[str] = set()
 
@@ -25,10 +26,13 @@ _homes: set[str] = set()
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where a session has none, as in tests.
+    A folder of our own is set only where a session has none and all of it runs in one process, as in
+    tests: on a cluster a folder of the driver's machine isn't shared.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: written tables need a folder that driver and executors share")
         root = getattr(spark, "_cartolith_scratch", None) or tempfile.mkdtemp(prefix="cartolith-")
         spark._cartolith_scratch = root
         spark.sparkContext.setCheckpointDir(root)
@@ -54,15 +58,27 @@ def _remove(gateway: JavaGateway, path: str) -> None:
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, columns stay prunable."""
+    return materialise_at(df, name, codec)[0]
+
+
+def materialise_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``materialise`` with the table's path, for steps that ``discard`` it."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no later step reads."""
+    _remove(spark.sparkContext._gateway, path)
 
 
 def prepare(spark: SparkSession) -> None:
     """Makes the session ready for Python stages: bounded Arrow batches, this package on executors."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_cartolith_shipped", False):
         return
