@@ -32,7 +32,7 @@ from cartolith.llm.encoding import encoder, grouped
 CAPACITY = 4096
 SLACK = 0.02
 
-PIECES = "doc_id long, doc_key long, start long, length long, doc_tokens long, class int, ids binary"
+PIECES = "doc_id long, doc_key long, start long, length long, doc_tokens long, class int"
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
@@ -50,10 +50,11 @@ def cut_lengths(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> l
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = True) -> DataFrame:
     """The pieces of each document with their ids (little-endian unsigned 32 bits), class included.
 
-    ``doc_key`` tells documents apart that share a ``doc_id``: a digest of the text.
+    Without ids there is ``ids_crc32`` instead, and ids don't leave the Python worker. ``doc_key``
+    tells documents apart that share a ``doc_id``: a digest of the text.
     """
     prepare(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -67,14 +68,17 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
                 ids = np.frombuffer(ids, dtype=enc.dtype).astype("<u4").tobytes() + end
                 total, start = len(ids) // 4, 0
                 for n in cut_lengths(total, capacity, slack):
-                    rows.append((doc, key, start, n, total, capacity // n, ids[4 * start : 4 * (start + n)]))
+                    part = ids[4 * start : 4 * (start + n)]
+                    rows.append((doc, key, start, n, total, capacity // n, part if with_ids else zlib.crc32(part)))
                     start += n
             cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["doc_id", "doc_key", "start", "length", "doc_tokens", "class", "ids"])
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary() if with_ids else pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["doc_id", "doc_key", "start", "length", "doc_tokens", "class", told])
+        enc.settle()
 
+    told = "ids" if with_ids else "ids_crc32"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("doc_key"))
-    return slim.mapInArrow(cut, PIECES)
+    return slim.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ", ids_crc32 long"))
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -158,7 +162,7 @@ def sequences(placed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 
 def packed_digests(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Where each piece lies, with the crc32 of its ids in place of the ids."""
-    parts = pieces(docs, vocabulary, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    parts = pieces(docs, vocabulary, end_id, with_ids=False)
     return place(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -136,6 +136,7 @@ def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int, kind:
                     held, ids_of, sizes, total, number = [], [], [], 0, number + 1
         if held:
             yield out()
+        enc.settle()
 
     order = ["doc_id", "__text_key"]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__text_key"))

@@ -18,7 +18,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -65,6 +64,14 @@ def test_little_padding(spark):
     assert len({r.sequence_id for r in rows}) * p.CAPACITY <= 1.03 * filled + p.CAPACITY
 
 
+def test_added_tokens_and_ids_or_digests(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|STARTOFTEXT|>x"), (3, None)], "doc_id long, text string")
+    ids = {r.doc_id: r.ids for r in p.pieces(docs, VOCABULARY, 2).collect() if r.start == 0}
+    crcs = {r.doc_id: r.ids_crc32 for r in p.pieces(docs, VOCABULARY, 2, with_ids=False).collect() if r.start == 0}
+    assert {k: zlib.crc32(v) for k, v in ids.items()} == crcs
+    assert 49407 in ids_of("a <|endoftext|> b") and all(bytes(ids[i]) == np.array(ids_of(t), dtype="<u4").tobytes() for i, t in ((1, "a <|endoftext|> b"), (2, "<|STARTOFTEXT|>x"), (3, None)))
+
+
 def test_sequences_hold_the_ids(spark):
     docs = helpers.documents(spark)
     placed = p.place(p.pieces(docs, VOCABULARY, 2))

@@ -19,7 +19,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return t
 
 
@@ -81,11 +80,22 @@ def test_memo_gives_the_library_s_ids(name):
     rnd = random.Random(6)
     letters = list("ab  \n\t'sStT1.,0\x1c\x85\xa0éß́Σς中 <|endoftext|>\r\0\1")
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(30))) for _ in range(20_000)]
-    texts += ["", " ", "a <|endoftext|> b", " x", "\nfoo", "foo\n", "foo ", "İ, i̇.", "x" * 5000, helpers.words(rnd, 2000), "It's, don't. 3.14,5\nNext"]
-    e = MemoEncoder(vocabulary(name), most_parts=500)
+    texts += ["", " ", "a <|endoftext|> b", " x", "\nfoo", "foo\n", "foo ", "İ, i̇.", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>,", "x, y. <|EndOfText|>z", "x" * 5000, helpers.words(rnd, 2000), "It's, don't. 3.14,5\nNext"]
+    e = MemoEncoder(vocabulary(name), memo_bytes=100_000)
     got = []
     for i in range(0, len(texts), 512):
         got += e.encode(texts[i : i + 512])
-    want = e._library(texts)
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(vocabulary(name))
+    want = [np.array(x.ids, dtype=e.dtype).tobytes() for x in untouched.encode_batch(texts, add_special_tokens=False)]
     assert [t for t, g, w in zip(texts, got, want) if g != w] == []
-    assert len(e._young) <= 500 + 512 * 40
+    assert e._held <= 100_000 + 512 * 40 * 250
+    e.settle()
+    assert not e._old and e.encode(texts[:50]) == want[:50]
+
+
+def test_added_tokens_have_their_own_ids():
+    for name, told in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
+        e = MemoEncoder(vocabulary(name))
+        assert told in np.frombuffer(e.encode(["a <|endoftext|> b"])[0], dtype=e.dtype)
