@@ -8,20 +8,22 @@ level that is water-filling: with children in ascending order of supply / weight
 saturated when the budget covers all before it in full and the rest at its own ratio.
 
 Each leaf then reads its documents in seeded epochs: epoch ``e`` is the order of
-``md5(seed:e:doc_id)``. The leaf's budget is some whole epochs and a token-prefix of the next one:
-documents whose preceding tokens in that order are below what is left, so at most one document
-reaches beyond the budget. The prefix ends at a hash value per leaf, found without sorting a leaf
-in one task: hash buckets are summed, the bucket that holds the end is found on the sums, and only
-its rows are ordered.
+``md5(seed:e:doc_id:md5(text))``. The leaf's budget is some whole epochs and a token-prefix of the
+next one: documents whose preceding tokens in that order are below what is left, so at most one
+document reaches beyond the budget. The prefix ends at a hash value per leaf, found without sorting
+a leaf in one task: hash buckets are summed, the bucket that holds the end is found on the sums, and
+only its rows are summed by hash. Rows alike in id and text share a hash; where the end falls among
+them, as many of them are taken as the rest asks for.
 
 All of it is DataFrame expressions. Tokens are runs of characters other than blank, tab, line feed
 and carriage return, unless a column of token counts is named.
 
 Edge cases: null domains, languages or sources are the key ``(none)``; a null or empty text has 0
 tokens and follows its hash like the others (it is part of whole epochs, and of a prefix when its
-place comes before the end); rows with the same ``doc_id`` in a leaf, null ones included, share a
-hash and go together; a node without weight gets ``default_weight``; extra columns stay as they
-are; an empty table gives no rows.
+place comes before the end); rows that repeat an id and a text are taken one by one, rows that only
+repeat an id, null ones included, have places of their own; very long texts are counted whole; a
+node without weight gets ``default_weight``; extra columns stay as they are, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,9 +46,13 @@ def tokens_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
-def hash_of(seed: int, epoch: Column, doc_id: str = "doc_id") -> Column:
-    """A document's place in an epoch: the first 52 bits of ``md5(seed:epoch:doc_id)``."""
-    told = F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(NONE)))
+def text_hash(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def hash_of(seed: int, epoch: Column, doc_id: str = "doc_id", text: str = "text_hash") -> Column:
+    """A document's place in an epoch: the first 52 bits of ``md5(seed:epoch:doc_id:md5(text))``."""
+    told = F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(NONE)), F.lit(":"), F.col(text))
     return F.conv(F.substring(F.md5(told.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
@@ -107,11 +113,11 @@ def plan_mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str,
 
     The slim table has ``doc_id``, the leaf's keys and ``tokens`` and is written once; texts are
     read once for it. The table of leaves has ``epochs`` and ``end_hash``: documents with a hash
-    below it are in the last, partial epoch.
+    below it are in the last, partial epoch. Of those whose hash is ``end_hash``, ``end_rows`` are.
     """
     count = F.col(tokens).cast("long") if tokens else tokens_of()
     keys = [F.coalesce(c.cast("string"), F.lit(NONE)) for c in (domain, F.col("lang"), F.col("source"))]
-    slim = docs.select("doc_id", *[k.alias(n) for k, n in zip(keys, ("domain", "lang", "source"))], count.alias("tokens"))
+    slim = docs.select("doc_id", *[k.alias(n) for k, n in zip(keys, ("domain", "lang", "source"))], count.alias("tokens"), text_hash().alias("text_hash"))
     slim = materialise(slim, "mix-slim")
     leaf = ["domain", "lang", "source"]
     leaves = slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
@@ -126,13 +132,17 @@ def plan_mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str,
     edge = sums.where((F.col("__before") < F.col("__r")) & (F.col("__before") + F.col("__t") >= F.col("__r")))
     edge = edge.select(*[F.col(c).alias(f"__e_{c}") for c in leaf], F.col("__b").alias("__e_b"), "__before")
     inside = hashed.join(edge, F.col("__b").eqNullSafe(F.col("__e_b")) & (F.col("domain") == F.col("__e_domain")) & (F.col("lang") == F.col("__e_lang")) & (F.col("source") == F.col("__e_source")))
-    places = inside.groupBy(*leaf, "__h").agg(F.sum("tokens").alias("__t"), F.max("__before").alias("__before"), F.max("rest").alias("__r"))
+    places = inside.groupBy(*leaf, "__h").agg(F.sum("tokens").alias("__t"), F.count(F.lit(1)).alias("__n"), F.max("__before").alias("__before"), F.max("rest").alias("__r"))
     here = Window.partitionBy(*leaf).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     places = places.withColumn("__up", F.col("__before") + F.coalesce(F.sum("__t").over(here), F.lit(0)))
-    ends = places.where(F.col("__up") < F.col("__r")).groupBy(*leaf).agg((F.max("__h") + 1).alias("end_hash"))
-    ends = ends.select(*[F.col(c).alias(f"__e_{c}") for c in leaf], "end_hash")
+    # Rows of one place have equal texts, so equal tokens: the rest asks for the first few of them.
+    asked = F.when(F.col("__t") > 0, F.ceil((F.col("__r") - F.col("__up")) * F.col("__n") / F.col("__t"))).otherwise(F.col("__n"))
+    ends = places.where(F.col("__up") < F.col("__r")).groupBy(*leaf).agg(F.max_by(F.struct("__h", "__n", asked.cast("long").alias("asked")), F.col("__h")).alias("__end"))
+    all_of_it = F.col("__end.asked") >= F.col("__end.__n")
+    end_hash = F.col("__end.__h") + F.when(all_of_it, 1).otherwise(0)
+    ends = ends.select(*[F.col(c).alias(f"__e_{c}") for c in leaf], end_hash.alias("end_hash"), F.when(all_of_it, 0).otherwise(F.col("__end.asked")).alias("end_rows"))
     on = (F.col("domain") == F.col("__e_domain")) & (F.col("lang") == F.col("__e_lang")) & (F.col("source") == F.col("__e_source"))
-    leaves = leaves.join(ends, on, "left").drop("__e_domain", "__e_lang", "__e_source").withColumn("end_hash", F.coalesce("end_hash", F.lit(0)))
+    leaves = leaves.join(ends, on, "left").drop("__e_domain", "__e_lang", "__e_source").withColumn("end_hash", F.coalesce("end_hash", F.lit(0))).withColumn("end_rows", F.coalesce("end_rows", F.lit(0)))
     return slim, materialise(leaves, "mix-ends", "snappy")
 
 
@@ -143,23 +153,50 @@ def with_leaves(docs: DataFrame, leaves: DataFrame, columns: tuple[str, ...], ke
     return docs.join(small, on[0] & on[1] & on[2]).drop("__leaf_domain", "__leaf_lang", "__leaf_source")
 
 
-def copies_of(seed: int, doc_id: str = "doc_id", epochs: str = "epochs", end_hash: str = "end_hash") -> Column:
-    """How often a document is taken: the whole epochs, and one more inside the prefix."""
-    return F.col(epochs) + F.when(hash_of(seed, F.col(epochs), doc_id) < F.col(end_hash), 1).otherwise(0)
+def copies_of(seed: int, doc_id: str = "doc_id", epochs: str = "epochs", end_hash: str = "end_hash", text: str = "text_hash") -> Column:
+    """How often a document is taken: the whole epochs, and one more inside the prefix.
+
+    Right for all documents but those at a place with ``end_rows``; see ``with_copies``.
+    """
+    return F.col(epochs) + F.when(hash_of(seed, F.col(epochs), doc_id, text) < F.col(end_hash), 1).otherwise(0)
+
+
+def with_copies(docs: DataFrame, leaves: DataFrame, seed: int, keys: tuple[str, str, str] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text_hash") -> DataFrame:
+    """``docs`` with ``copies``: how often the mix takes each row.
+
+    Rows at a place that is taken in part (only repeated rows are) are written, counted by leaf and
+    partition, and numbered inside partitions; no leaf is ordered in one task.
+    """
+    own = docs.columns
+    told = with_leaves(docs, leaves, ("epochs", "end_hash", "end_rows"), keys).withColumn("copies", copies_of(seed, doc_id, text=text).cast("long"))
+    if leaves.where("end_rows > 0").isEmpty():
+        return told.select(*own, "copies")
+    split = (F.col("end_rows") > 0) & (hash_of(seed, F.col("epochs"), doc_id, text) == F.col("end_hash"))
+    tied = told.where(split).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
+    tied = materialise(tied, "mix-tied")
+    inside = Window.partitionBy(*keys, "__part").orderBy("__place")
+    sums = tied.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    above = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"__s{i}"))
+    numbered = tied.withColumn("__nth", F.row_number().over(inside)).join(sums, same)
+    taken = F.when(F.col("__above") + F.col("__nth") <= F.col("end_rows"), 1).otherwise(0)
+    numbered = numbered.withColumn("copies", (F.col("epochs") + taken).cast("long"))
+    return told.where(~split).select(*own, "copies").unionByName(numbered.select(*own, "copies"))
 
 
 def mixed(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: float, max_epochs: int, seed: int, tokens: str | None = None) -> DataFrame:
     """Each document's leaf, tokens and number of copies: ``doc_id, domain, lang, source, tokens, copies``."""
     slim, leaves = plan_mix(docs, domain, weights, budget, max_epochs, seed, tokens)
-    out = with_leaves(slim, leaves, ("epochs", "end_hash"))
-    return out.select("doc_id", "domain", "lang", "source", "tokens", copies_of(seed).cast("long").alias("copies"))
+    return with_copies(slim, leaves, seed).select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
 def select_rows(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], budget: float, max_epochs: int, seed: int, tokens: str | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as they were."""
     _, leaves = plan_mix(docs, domain, weights, budget, max_epochs, seed, tokens)
     keys = [F.coalesce(c.cast("string"), F.lit(NONE)) for c in (domain, F.col("lang"), F.col("source"))]
-    wide = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").alias("__id"), *[k.alias(f"__{n}") for k, n in zip(keys, ("domain", "lang", "source"))])
-    wide = with_leaves(wide, leaves, ("epochs", "end_hash"), ("__domain", "__lang", "__source"))
-    times = F.explode(F.sequence(F.lit(1), copies_of(seed, "__id").cast("int")))
-    return wide.where(copies_of(seed, "__id") > 0).select("__row", times.alias("__time")).select("__row.*")
+    wide = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").alias("__id"), text_hash().alias("__text"), *[k.alias(f"__{n}") for k, n in zip(keys, ("domain", "lang", "source"))])
+    counted = with_copies(wide, leaves, seed, ("__domain", "__lang", "__source"), "__id", "__text").where("copies > 0")
+    return counted.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__time")).select("__row.*")

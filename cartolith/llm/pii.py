@@ -6,10 +6,16 @@ format, and a keyed Feistel network with cycle walking permutes that set. So a p
 valid value of the same format and length, equal values get equal pseudonyms in all documents,
 different ones never collide, and the key's holder can go back.
 
-Kinds: e-mail (local part, letter by letter and digit by digit), IPv4, phone numbers (North
-American plan, and ``+`` with a country code), payment cards, US social security numbers, IBANs
-(of groups that follow each other, the length that the country fixes, else the longest run that
-passes its check), dates (``2024-02-29``, ``29.02.2024``, ``02/29/2024``; from 1900 to 2099). Other digits stay.
+Kinds: e-mail (local part, letter by letter and digit by digit; letters beyond ASCII become letters
+of the same alphabet; rare ones stay), IPv4, IPv6 (in full, or ``::`` between three groups and more), phone numbers (North American plan,
+and ``+`` with a country code), payment cards, US social security numbers, IBANs (of groups that
+follow each other, the length that the country fixes, else the longest run that passes its check),
+dates (``2024-02-29``, ``2024/02/29``, ``29.02.2024``, ``29-02-2024``, ``02/29/2024``; from 1900 to
+2099). Other digits stay: ten digits without a mark between them are taken for no phone number, as
+nothing tells them from other numbers, and names of persons are found by no shape.
+
+The key: ``secret_key`` takes it from ``CARTOLITH_PII_KEY``; where that isn't set it draws one for
+this process, so pseudonyms are linked within a run, and no one can undo them or link two runs.
 
 Edge cases: a null text stays null with 0 values; repeated rows and equal texts give equal
 results; a null ``doc_id`` and extra columns, whatever their names, stay as they are; an empty
@@ -20,7 +26,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import os
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
@@ -30,15 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cartolith.llm.common import map_rows, prepare
+from cartolith.progress import log
 
 ROUNDS = 8
 _ANY = re.compile("[0-9@]")
 _EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Longer local parts are permuted in pieces of this length.
 _EMAIL_PIECE = 64
-_EMAIL_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
-#: Where a value may begin: a digit, plus or bracket, or two capitals before digits.
-_START = re.compile(r"(?<![0-9])[0-9+(]|(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})")
+#: Latin, Greek and Cyrillic letters beyond ASCII, which local parts and hosts may have. Other scripts
+#: are written without blanks, so what stands beside an address there isn't part of it.
+_MORE = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f"
+_MORE_LETTER = re.compile(f"[{_MORE}]")
+_LABEL = f"[A-Za-z0-9{_MORE}](?:[A-Za-z0-9{_MORE}\\-]*[A-Za-z0-9{_MORE}])?"
+_EMAIL_HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z{_MORE}]{{2,}}")
+#: Small letters beyond ASCII that are permuted, in one alphabet each.
+_ALPHABETS = [[c for c in map(chr, block) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c] for block in (range(0xDF, 0x180), range(0x3B1, 0x3CA), range(0x430, 0x460))]
+_LETTER_AT = {c: (a, i) for a, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
+#: Where a value may begin: a digit, plus or bracket, two capitals before digits, or the first group of an IPv6 address.
+_START = re.compile(r"(?<![0-9])[0-9+(]|(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})|(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?=:[0-9A-Fa-f:])")
 #: The shapes of values, in the order they are tried at a place.
 _SHAPES = [(kind, re.compile(shape)) for kind, shape in (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -46,6 +63,10 @@ _SHAPES = [(kind, re.compile(shape)) for kind, shape in (
     ("iso", r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"),
     ("dmy", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])"),
     ("mdy", r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"),
+    ("ymd", r"(?<![0-9/])[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?![0-9/])"),
+    ("dash", r"(?<![0-9\-])[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}(?![0-9\-])"),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
     ("nanp", r"(?<![0-9+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9\-])"),
@@ -152,6 +173,33 @@ def _ip(f: Feistel, s: str, back: bool) -> str | None:
     return ".".join(str(v + least[len(o)]) for v, o in zip(new, octets))
 
 
+def _ip6(f: Feistel, s: str, back: bool) -> str | None:
+    """Groups keep their number of digits; a group has no needless zero in front, or all four digits."""
+    groups = s.split(":")
+    told = [g for g in groups if g]
+    if ("::" in s and not 3 <= len(told) <= 7) or not any(c.isdigit() for c in s):
+        return None
+    digits, radices, shape = [], [], ""
+    for g in groups:
+        for i, c in enumerate(g):
+            first = i == 0 and 1 < len(g) < 4
+            if first and c == "0":
+                return None
+            digits.append(int(c, 16) - first)
+            radices.append(16 - first)
+            shape += "f" if first else "x"
+        shape += ":"
+    new, k, out = _mixed(f, digits, radices, "ip6" + shape, back), 0, []
+    upper = any(c in "ABCDEF" for c in s)
+    for c, place in zip(s, shape):
+        if c == ":":
+            out.append(c)
+        else:
+            out.append(f"{new[k] + (place == 'f'):{'X' if upper else 'x'}}")
+            k += 1
+    return "".join(out)
+
+
 def _ssn(f: Feistel, s: str, back: bool) -> str | None:
     area, group, serial = (int(p) for p in s.split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -208,7 +256,7 @@ def _iban(f: Feistel, s: str, back: bool) -> str | None:
 
 
 #: Kinds that are told apart only by their shape.
-_NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "nanp": "phone"}
+_NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "ymd": "date", "dash": "date", "nanp": "phone", "ip6": "ip"}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 
@@ -254,18 +302,32 @@ def _email(f: Feistel, local: str, host: str, back: bool) -> str:
             radices.append(10)
             digits.append(int(c))
             shape.append("9")
+        elif low in _LETTER_AT:
+            block, place = _LETTER_AT[low]
+            radices.append(len(_ALPHABETS[block]))
+            digits.append(place)
+            shape.append(("U" if c != low else "u") + str(block))
         else:
             shape.append(c)
     if not radices:
         return local
     fmt = "mail" + "".join(x.lower() for x in shape) + "@" + host.lower()
     new = iter(_mixed(f, digits, radices, fmt, back))
-    return "".join(x if x not in "Aa9" else str(next(new)) if x == "9" else chr((65 if x == "A" else 97) + next(new)) for x in shape)
+    out = []
+    for x in shape:
+        if len(x) == 2:
+            letter = _ALPHABETS[int(x[1])][next(new)]
+            out.append(letter.upper() if x[0] == "U" else letter)
+        elif x in "Aa":
+            out.append(chr((65 if x == "A" else 97) + next(new)))
+        else:
+            out.append(str(next(new)) if x == "9" else x)
+    return "".join(out)
 
 
 _BY_KIND: dict[str, Callable[[Feistel, str, bool], str | None]] = {
     "iban": _iban, "iso": _date("ymd", "-"), "dmy": _date("dmy", "."), "mdy": _date("mdy", "/"),
-    "ip": _ip, "ssn": _ssn, "nanp": _nanp, "phone": _phone, "card": _card,
+    "ymd": _date("ymd", "/"), "dash": _date("dmy", "-"), "ip6": _ip6, "ip": _ip, "ssn": _ssn, "nanp": _nanp, "phone": _phone, "card": _card,
 }
 
 
@@ -305,7 +367,7 @@ class Pseudonyms:
         while at >= 0:
             host = _EMAIL_HOST.match(text, at + 1)
             begin = at
-            while host and begin > done and text[begin - 1] in _EMAIL_LOCAL:
+            while host and begin > done and (text[begin - 1] in _EMAIL_LOCAL or _MORE_LETTER.match(text[begin - 1])):
                 begin -= 1
             local_text = text[begin:at].lstrip(".%+-")
             if host and local_text:
@@ -316,6 +378,19 @@ class Pseudonyms:
         return "".join([*parts, text[done:]])
 
 
+_drawn: list[bytes] = []
+
+
+def secret_key() -> bytes:
+    """The key of ``CARTOLITH_PII_KEY``, else one that this process draws and tells no one."""
+    if told := os.environ.get("CARTOLITH_PII_KEY"):
+        return told.encode()
+    if not _drawn:
+        _drawn.append(secrets.token_bytes(32))
+        log.warning("CARTOLITH_PII_KEY is not set: pseudonyms of this run can't be undone or linked with other runs")
+    return _drawn[0]
+
+
 _made: dict[tuple[bytes, bool], Pseudonyms] = {}
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +22,6 @@ WEIGHTS = {
 }
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 1.0, 3, 13
 
-#: The pseudonyms' key, from the environment in production.
-PII_KEY = os.environ.get("CARTOLITH_PII_KEY", "a key for tests").encode()
 
 SHARDS = 24
 
@@ -71,7 +68,7 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, counts=True)
+    return pii.pseudonymise(docs, pii.secret_key(), counts=True)
 
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,11 +116,11 @@ def _fill_sql(name: str, source: str, parent: str, child: str, budget: str) -> s
 
 
 def _mix_sql() -> str:
-    hashed = f"('0x' || substr(md5('{MIX_SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '(none)')), 1, 13))::BIGINT"
+    hashed = f"('0x' || substr(md5('{MIX_SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '(none)') || ':' || text_hash), 1, 13))::BIGINT"
     return f"""
 WITH slim AS (
   SELECT doc_id, {_domain_sql()} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-    coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS tokens
+    coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS text_hash
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (sum(tokens) * {MIX_EPOCHS})::BIGINT AS cap FROM slim GROUP BY ALL),
 asked AS (SELECT least(floor(sum(tokens)::DOUBLE * {MIX_BUDGET!r}::DOUBLE), sum(cap)::DOUBLE) AS total FROM leaves),
@@ -136,7 +133,7 @@ s0 AS (SELECT leaves.*, {_weight_sql('source', 'source')} AS w, l1.given AS from
 b AS (SELECT domain, lang, source, tokens AS supply, floor(given + 1e-6)::BIGINT AS budget FROM s1),
 e AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs FROM b),
 hashed AS (SELECT slim.*, e.epochs, e.budget - e.epochs * e.supply AS rest, {hashed} AS h FROM slim JOIN e USING (domain, lang, source)),
-ranked AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hashed)
+ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h ROWS UNBOUNDED PRECEDING) - tokens AS before FROM hashed)
 SELECT doc_id, domain, lang, source, tokens, (epochs + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked
 """
 

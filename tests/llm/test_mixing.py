@@ -50,12 +50,13 @@ def brute(rows, budget, epochs, seed):
             budgets |= {(d, lang, s): b for s, b in fill(more, {k[2]: (c, w("source", k[2])) for k, c in cap.items() if k[:2] == (d, lang)}).items()}
     out = []
     for leaf, given in budgets.items():
-        mine = [(r["doc_id"], count(r["text"])) for r in rows if leaf_of(r) == leaf]
+        mine = [(r["doc_id"], count(r["text"]), hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in rows if leaf_of(r) == leaf]
         whole, rest = divmod(int(given + 1e-6), supply[leaf]) if supply[leaf] else (0, 0)
-        place = lambda d: hashlib.md5(f"{seed}:{whole}:{m.NONE if d is None else d}".encode()).hexdigest()[: m.HASH_DIGITS]  # noqa: B023, E731
-        for d, n in mine:
-            before = sum(k for e, k in mine if place(e) < place(d))
+        place = lambda d, t: hashlib.md5(f"{seed}:{whole}:{m.NONE if d is None else d}:{t}".encode()).hexdigest()[: m.HASH_DIGITS]  # noqa: B023, E731
+        before = 0
+        for d, n, _ in sorted(mine, key=lambda x: place(x[0], x[2])):
             out.append((d, *leaf, n, whole + (rest > 0 and before < rest)))
+            before += n
     return sorted(out, key=repr), budgets
 
 
@@ -71,7 +72,7 @@ def test_small_buckets_change_nothing(spark):
     docs = helpers.documents(spark)
     want, _ = brute(helpers.rows_of(docs), 0.5, 1, 3)
     slim, leaves = m.plan_mix(docs, DOMAIN, WEIGHTS, 0.5, 1, 3, bucket_rows=2)
-    got = m.with_leaves(slim, leaves, ("epochs", "end_hash")).withColumn("copies", m.copies_of(3))
+    got = m.with_copies(slim, leaves, 3)
     assert sorted(r.copies for r in got.collect()) == sorted(w[-1] for w in want)
 
 
@@ -83,6 +84,17 @@ def test_rows_and_columns_are_kept(spark):
     assert sorted(repr(r.doc_id) for r in taken.select("doc_id").collect()) == sorted(repr(w[0]) for w in want for _ in range(w[-1]))
 
 
+@pytest.mark.parametrize("budget", [0.001, 0.25, 0.5, 0.999])
+def test_repeated_rows_are_taken_one_by_one(spark, budget):
+    rows = [(None, "a b c", "en", "src0", 1)] * 200 + [(7, "d e", "en", "src0", 2)] * 100 + [(None, "f", "en", "src0", 3)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, end_rows int").repartition(5)
+    asked = int(803 * budget)
+    got = [(r.tokens, r.copies) for r in m.mixed(docs, F.lit("d"), {}, budget, 1, 5).collect()]
+    assert len(got) == 303 and asked <= sum(n * c for n, c in got) <= asked + 2
+    taken = m.select_rows(docs, F.lit("d"), {}, budget, 1, 5)
+    assert taken.columns == docs.columns and taken.count() == sum(c for _, c in got)
+
+
 def test_shortage_goes_to_siblings_first(spark):
     rows = [("a", "x", "s1", 10), ("a", "x", "s2", 1000), ("a", "y", "s1", 1000), ("b", "x", "s1", 1000)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")

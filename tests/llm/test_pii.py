@@ -78,6 +78,74 @@ def test_dates(day, form):
     assert len(got) == len(text) and kinds["date"] == 1 and BACK.replace(got)[0] == text
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("2024/02/29", "date"), ("29-02-2024", "date"), ("9-2-2024", "date"), ("2024/2/9", "date"), ("jörg.weiß@example.com", "email"), ("Ömer@x.org", "email"), ("иван@пример.рф", "email"), ("a@müller.de", "email"),
+    ("2001:db8:85a3:0:0:8a2e:370:7334", "ip"), ("fe80::1ff:fe23:4567:890a", "ip"), ("2001:DB8::8A2E:370:7334", "ip"),
+])
+def test_other_formats(text, kind):
+    got, kinds = P.replace(f"x {text}, y")
+    assert dict(kinds) == {kind: 1} and len(got) == len(text) + 5 and got != f"x {text}, y" and BACK.replace(got)[0] == f"x {text}, y"
+    local = text.split("@")[0] if kind == "email" else text
+    assert local not in got
+
+
+@pytest.mark.parametrize("text", ["12:30:45", "face::feed", "std::cout", "a:b:c", "2023/02/29", "31-04-2020", "1::2", "7265557857"])
+def test_look_alikes_stay(text):
+    assert P.replace(text) == (text, {})
+
+
+def test_an_address_beside_other_scripts_is_the_same():
+    assert P.replace("邮箱foo@bar.com中文")[0] == "邮箱" + P.replace("foo@bar.com")[0] + "中文"
+
+
+def test_key(monkeypatch):
+    monkeypatch.setenv("CARTOLITH_PII_KEY", "mine")
+    assert pii.secret_key() == b"mine"
+    monkeypatch.delenv("CARTOLITH_PII_KEY")
+    monkeypatch.setattr(pii, "_drawn", [])
+    drawn = pii.secret_key()
+    assert len(drawn) == 32 and pii.secret_key() == drawn
+    monkeypatch.setattr(pii, "_drawn", [])
+    assert pii.secret_key() != drawn
+
+
+#: What a text may hold, each kind found by a rule of its own: no shape of the operator is used.
+def slow_values(text):
+    """Values by trying every run of characters between blanks, stripped of marks."""
+    found = []
+    for word in text.replace(",", " ").replace(";", " ").split():
+        word = word.rstrip(".")
+        digits = [c for c in word if c in "0123456789"]
+        parts = word.split(".")
+        if word.count("@") == 1 and all(word.split("@")) and "." in word.split("@")[1]:
+            found.append(word.split("@")[0])
+        elif len(parts) == 4 and all(p.isdigit() and int(p) < 256 and str(int(p)) == p for p in parts):
+            found.append(word)
+        elif len(word) == len(digits) and 13 <= len(word) <= 19 and word[0] != "0":
+            doubled = [int(d) * (1 + (len(word) - i) % 2 * 0 + (i % 2 == len(word) % 2)) for i, d in enumerate(word)]
+            if sum(d // 10 + d % 10 for d in doubled) % 10 == 0:
+                found.append(word)
+        elif len(word) == 10 and word[4] == word[7] == "-" and len(digits) == 8:
+            try:
+                day = datetime.datetime.strptime(word, "%Y-%m-%d")
+            except ValueError:
+                continue
+            if 1900 <= day.year <= 2099:
+                found.append(word)
+    return found
+
+
+@given(st.lists(st.one_of(
+    st.from_regex(r"[a-z]{1,6}@[a-z]{1,5}\.(com|org)", fullmatch=True), st.from_regex(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", fullmatch=True), st.from_regex(r"[0-9]{13,16}", fullmatch=True),
+    st.from_regex(r"(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", fullmatch=True), st.sampled_from(["word", "4325404893167225", "12", "x@y", "1.2.3", "2024-02-29"]),
+), max_size=8), st.sampled_from([" ", ", ", "; "]))
+@settings(max_examples=400, deadline=None)
+def test_the_same_values_as_a_slow_search(words, mark):
+    text = mark.join(words)
+    _, kinds = P.replace(text)
+    assert sum(kinds.values()) == len(slow_values(text))
+
+
 @given(st.lists(st.integers(0, 255), min_size=4, max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_addresses(octets):
