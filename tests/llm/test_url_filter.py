@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cartolith.llm import url_filter as u
 from cartolith.llm.queries import RULES
@@ -45,32 +48,56 @@ def test_against_brute_force(pages):
     check(u.judge(pages, RULES), pages)
 
 
-def test_join_gives_the_same(spark, pages):
-    check(u.judge(pages, RULES, most_bytes=10), pages)
-    check(u.judge_by_join(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")), pages)
+@pytest.mark.parametrize("most_bytes", [10, 60, 10_000])
+def test_every_number_of_parts_gives_the_same(spark, pages, most_bytes):
+    more = [*RULES, ("Example.ORG", "/", "block"), ("example", "", "block"), ("a", "/x", "allow"), ("ünet.net", "/", "block"), ("net", "x", "block"), ("en/", "", "block"), ("net", "/", "allow")]
+    want = [(u_lower(h), p, v) for h, p, v in more]
+    check(u.judge(pages, more, most_bytes=most_bytes), pages, strongest(want))
+    check(u.judge(pages, spark.createDataFrame([*more, (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string"), most_bytes=most_bytes), pages, strongest(want))
+
+
+def u_lower(host):
+    return "".join(c.lower() if c.isascii() else c for c in host)
+
+
+def strongest(rules):
+    return [(h, p, "block" if (h, p, "block") in rules else "allow") for h, p, _ in rules]
 
 
 def test_no_rules_and_no_pages(spark, pages):
     check(u.judge(pages, []), pages, [])
     check(u.judge(pages, [], most_bytes=1), pages, [])
     assert u.judge(pages.limit(0), RULES).count() == 0
+    assert u.judge(pages.limit(0), RULES, most_bytes=1).count() == 0
+
 
+def test_small_letters_are_those_of_ascii(spark):
+    pages = spark.createDataFrame([(1, "http://Ü.com/x"), (2, "http://ü.com/x"), (3, "http://A.Ü.COM/")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in u.judge(pages, [("Ü.com", "/", "block")]).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
 
-def test_the_file_and_collisions(tmp_path, monkeypatch):
-    rules = [(f"h{i}.example", "/", "block" if i % 3 else "allow") for i in range(500)] + [("h1.example", "/", "allow"), ("h3.example", "/p", "block")]
-    u.build_file(rules, str(tmp_path / "f"))
+
+@pytest.mark.parametrize("same", [False, True])
+def test_the_file_and_collisions(tmp_path, same):
+    """With ``same`` all digests collide, and only full strings tell rules apart."""
+    names = {f"h{i}.example/": "block" if i % 3 else "allow" for i in range(500)}
+    key = lambda n: 7 if same else xxhash.xxh64_intdigest(n, seed=42) - (1 << 63)
+    u.write_digests(str(tmp_path / "f"), sorted((key(n), n, v) for n, v in names.items()))
     f = u.DigestFile(str(tmp_path / "f"))
-    assert list(f.keys) == sorted(f.keys) and len(f.keys) == 501
-    assert f.keys[0] == min(xxhash.xxh64_intdigest(h + p) for h, p, _ in rules)
-    assert f.find(["h1.example/", "h0.example/", "h3.example/p", "nothing"]) == ["block", "allow", "block", None]
-    assert f.judge(["h3.example", "x.h3.example"], ["/pq", "/"]) == [("h3.example/p", "block"), ("h3.example/", "allow")]
-    honest = u.digests_of
-    monkeypatch.setattr(u, "digests_of", lambda s: honest(s) % 3)
-    u.build_file(rules, str(tmp_path / "g"))
-    g = u.DigestFile(str(tmp_path / "g"))
-    assert g.find(["h1.example/", "h0.example/", "h3.example/p", "nothing"]) == ["block", "allow", "block", None]
-
-
-def test_a_wrong_verdict_is_refused(tmp_path):
+    assert list(f.keys) == sorted(f.keys) and len(f.keys) == 500
+    asked = ["h1.example/", "nothing", "h0.example/", "h499.example/"]
+    found, verdicts = f.find(np.array([key(n) for n in asked]), pa.array(asked))
+    assert found.tolist() == [0, 2, 3] and verdicts == [names[asked[i]] for i in found]
+
+
+def test_parts_cover_the_range(spark):
+    keys = [-(1 << 63), -(1 << 62), -1, 0, 1, 1 << 62, (1 << 63) - 1]
+    got = [r.p for r in spark.createDataFrame([(k,) for k in keys], "k long").select(u.part_of(F.col("k"), 4).alias("p")).collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] == 3
+
+
+def test_a_wrong_verdict_is_refused(spark, pages):
     with pytest.raises(ValueError):
-        u.build_file([("a", "/", "maybe")], str(tmp_path / "f"))
+        u.judge(pages, [("a", "/", "maybe")])
+    with pytest.raises(Exception, match="maybe"):
+        u.judge(pages, spark.createDataFrame([("a", "/", "maybe")], "host string, path string, verdict string")).collect()
