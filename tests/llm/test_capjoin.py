@@ -70,6 +70,13 @@ def test_awkward_vectors(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_components_of_any_size(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1.0, 2.0], 1), (3, [5e-324, 1e-323], 1), (4, [1e-200, 2e-200], 1), (5, [1.7e308, -1.7e308], 1), (6, [-1.7e308, 1.7e308], 1), (7, [1e300, -1e300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in c.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (0, 6), 7: (1, 5)}
+
+
 def test_empty(spark):
     assert c.near_vectors(frame(spark, [])).count() == 0
     assert got(spark, [(1, None, 1)]) == [(1, 0, 1, True)]
