@@ -26,23 +26,28 @@ def buckets_for(rows: int, width: int) -> int:
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], into: str, rows: int, width: int = 50_000) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps, in no task more than about ``width`` rows of a group.
 
-    Rows are dealt to hash buckets of ``order``; a small table of bucket counts gives each bucket
-    its base, and ``row_number`` runs inside buckets only. ``rows`` is the row count of ``df``.
-    Rows alike in all ``order`` columns are interchangeable. ``df`` is read twice, so pass a
-    written table.
+    Rows alike in all columns are counted first (with map-side combine) and numbered as one, so a
+    row that is repeated without end is one row to the tasks that order; it is multiplied again at
+    the end. Distinct rows are dealt to hash buckets of ``order``; a small table of bucket counts
+    gives each bucket its base, and the running count is taken inside buckets only. ``rows`` is the
+    row count of ``df``, which is read once for each of the two tables, so pass a written one.
     """
-    b, base = "__num_bucket", "__num_base"
+    b, base, times = "__num_bucket", "__num_base", "__num_times"
     n = buckets_for(rows, width)
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)))
-    running = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     keys = [*group, b]
+    running = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias(base)).withColumn(base, F.coalesce(F.sum(base).over(running), F.lit(0)))
-    inner = Window.partitionBy(*keys).orderBy(*order)
-    ranked = dealt.withColumn(into, F.row_number().over(inner).cast("long") - 1)
+    own = df.columns
+    counted = dealt.groupBy(*own, b).agg(F.count(F.lit(1)).alias(times))
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn(into, F.coalesce(F.sum(times).over(inner), F.lit(0)))
     renamed = bases.select(*[F.col(k).alias(f"__num_{i}") for i, k in enumerate(keys)], base)
     same = [ranked[k].eqNullSafe(renamed[f"__num_{i}"]) for i, k in enumerate(keys)]
-    joined = ranked.join(renamed, on=_all(same), how="inner")
-    return joined.withColumn(into, F.col(into) + F.col(base)).drop(b, base, *[f"__num_{i}" for i in range(len(keys))])
+    joined = ranked.join(renamed, on=_all(same), how="inner").withColumn(into, F.col(into) + F.col(base))
+    one = joined.where(F.col(times) == 1).select(*own, into)
+    each = F.explode(F.sequence(F.col(into), F.col(into) + F.col(times) - 1))
+    return one.unionByName(joined.where(F.col(times) > 1).select(*own, each.alias(into)))
 
 
 def _all(conditions: list[Column]) -> Column:
