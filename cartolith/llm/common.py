@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cartolith.scratch import materialise, prepare, scratch_path, scratch_root
 
-__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "whole_row", "free_name", "map_rows"]
+__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "join_spread", "whole_row", "free_name", "map_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,31 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+#: Rows of a key from which on it is joined without a shuffle, and the most keys that are.
+HOT_ROWS, MOST_HOT = 50_000, 10_000
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, other: str, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``many`` left-joined with ``one`` (a row a key at most) on ``key`` = ``other``, no key in one task.
+
+    Rows of keys with more than ``max(hot_rows, rows / MOST_HOT)`` rows, so fewer than ``MOST_HOT``
+    keys whatever the input, meet their row of ``one`` by a broadcast of those few; the others by a
+    shuffle. ``rows`` is the row count of ``many``, which is read more than once, as ``one`` is:
+    pass written tables. ``other`` is dropped.
+    """
+    width = max(hot_rows, -(-rows // MOST_HOT))
+    if rows <= width:
+        return many.join(one, F.col(key) == F.col(other), "left").drop(other)
+    hot = many.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > width).select("__hot")
+    hot = materialise(hot, "hot", "snappy")
+    if hot.isEmpty():
+        return many.join(one, F.col(key) == F.col(other), "left").drop(other)
+    few = F.broadcast(hot.join(one, F.col("__hot") == F.col(other), "left").drop(other))  # fewer than MOST_HOT rows
+    straight = many.join(few, F.col(key) == F.col("__hot")).drop("__hot")
+    rest = many.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_anti").join(one, F.col(key) == F.col(other), "left").drop(other)
+    return straight.unionByName(rest)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a table as one struct, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import materialise, prepare, whole_row
+from cartolith.llm.common import join_spread, materialise, prepare, whole_row
 from cartolith.operators.graph import components
 
 WORDS = 5
@@ -58,6 +58,10 @@ TABLE_BITS = 18
 UNIT = 250
 POOL_BITS = 14
 SEED = 7
+#: Bytes of a text that are hashed at once.
+BLOCK_BYTES = 1 << 17
+#: Open nodes of a bucket that one task compares with the bucket, about.
+OPEN_NODES = 500
 #: Characters beyond ASCII that belong to no word.
 _NO_WORD = re.compile(r"[^\x00-\x7f\w]")
 
@@ -76,7 +80,11 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return word, np.random.default_rng(SEED + 2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(3)
+@lru_cache(1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BLOCK_BYTES)
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse, modulo 2 ** 64."""
     base = 0x9E3779B97F4A7C15
@@ -91,8 +99,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word of a text, in order.
 
-    The hash of all words at once: sums of the bytes' random numbers times powers of their places
-    are taken up to each word's ends, and the difference is moved to the word's start.
+    Long texts are hashed in blocks that end between words, so memory grows with the number of words
+    only.
     """
     if not text:
         return np.empty(0, np.uint64)
@@ -100,10 +108,32 @@ def word_hashes(text: str | None) -> np.ndarray:
     if not text.isascii():
         text = _NO_WORD.sub(" ", text)
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if len(data) <= BLOCK_BYTES:
+        return _hashes(data)
+    out, at, is_word = [], 0, _byte_tables()[0]
+    while at < len(data):
+        size = BLOCK_BYTES
+        while True:
+            gaps = np.flatnonzero(~is_word[data[at : at + size]])
+            if len(gaps) or at + size >= len(data):
+                break
+            size *= 2  # one word fills the block
+        end = len(data) if at + size >= len(data) else at + int(gaps[-1]) + 1
+        out.append(_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes of all words of some bytes at once.
+
+    Sums of the bytes' random numbers times powers of their places are taken up to each word's ends,
+    and the difference is moved to the word's start.
+    """
     is_word, numbers = _byte_tables()
     edge = np.diff(is_word[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(max(1 << 17, 1 << len(data).bit_length()))
+    up, down = _block_powers() if len(data) <= BLOCK_BYTES else _powers(len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(numbers[data] * up[: len(data)], out=total[1:])
@@ -335,21 +365,23 @@ def _further_links(rows: DataFrame, members: DataFrame, known: DataFrame, roots:
     reach = 1 - threshold
     told = members.join(known.select(F.col("a").alias("centre"), F.col("b").alias("node"), "sim"), ["centre", "node"])
     told = materialise(told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dup-told")
-    open_ = told.where(F.col("sim") < threshold).select("key").distinct()
-    here = told.join(open_, "key", "left_semi")
+    # A bucket with many open nodes is compared in as many parts.
+    open_ = told.where(F.col("sim") < threshold).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OPEN_NODES).cast("int").alias("parts"))
+    here = told.join(open_, "key")
     wanted = here.select("node").distinct()
     bands = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
     full = bands.join(weighted, "node").withColumnRenamed("node", "__node")
-    here = here.select("key", "node", "root", "sim").join(full, F.col("node") == F.col("__node")).drop("__node")
+    here = here.select("key", "node", "root", "sim", "parts").join(full, F.col("node") == F.col("__node")).drop("__node")
     earlier = F.expr("slice(bands, 1, array_position(bands, key) - 1)")
     here = materialise(here.withColumn("earlier", earlier.cast("array<long>")).drop("bands"), "dup-here")
-    side = lambda df, s: df.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "sim", "earlier", "elements", "mass")])
-    left, other = side(here.where(F.col("sim") < threshold), "a"), side(here, "b")
+    side = lambda df, s: df.select("key", "part", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "sim", "earlier", "elements", "mass")])
+    mine = here.where(F.col("sim") < threshold).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left, other = side(mine, "a"), side(here.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
     near = (F.abs(F.col("sim_a") - F.col("sim_b")) <= reach + 1e-9) & ((F.col("sim_b") >= threshold) | (F.col("a") < F.col("b")))
     first_bucket = ~F.arrays_overlap("earlier_a", "earlier_b")
     shared = F.aggregate(F.array_intersect("elements_a", "elements_b"), F.lit(0).cast("long"), lambda s, e: s + e.bitwiseAND(F.lit(255)))
     linked = shared.cast("double") * (1 + threshold) >= threshold * (F.col("mass_a") + F.col("mass_b")) - 1e-6
-    found = left.join(other, (left["key"] == other["key"]) & (F.col("root_a") != F.col("root_b")) & near & first_bucket & linked)
+    found = left.join(other, (left["key"] == other["key"]) & (left["part"] == other["part"]) & (F.col("root_a") != F.col("root_b")) & near & first_bucket & linked)
     return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
@@ -359,19 +391,30 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the least ``doc_id`` of the class.
     """
     rows, roots = classes(docs, threshold)
-    named = rows.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).select("doc_id", "class")
-    told = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")).withColumnRenamed("class", "__class")
-    out = named.join(told, F.col("class") == F.col("__class"), "left")
-    class_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    told = _class_of_nodes(rows, roots)
+    out = join_spread(rows, told, "node", "__node", rows.count())
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
+def _class_of_nodes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``__node, class_id, class_rows, first_node`` of each text: rows are counted by text, then texts by class, before they meet."""
+    least = lambda d, n: F.min(F.struct(F.col(d).isNull().alias("none"), F.col(d).alias("doc_id"), F.col(n).alias("node")))
+    texts = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    texts = texts.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    texts = materialise(texts, "dup-texts")
+    named = texts.groupBy(F.col("class").alias("__class")).agg(least("least", "node").alias("first"), F.sum("n").alias("class_rows"))
+    named = materialise(named.select("__class", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first_node"), "class_rows"), "dup-named")
+    met = join_spread(texts, named, "class", "__class", texts.count())
+    return materialise(met.select(F.col("node").alias("__node"), "class_id", "class_rows", "first_node"), "dup-nodes")
+
+
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the least ``doc_id``; rows with a null text stay. Columns as they were."""
     rows, roots = classes(docs, threshold)
-    named = rows.where("node is not null").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    first = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("__first_id"), F.col("first.node").alias("__first_node"))
+    told = _class_of_nodes(rows, roots)
+    # One text of each class, by its least doc_id; the other texts' rows go before anything is shuffled.
+    first = told.where("__node = first_node").select(F.col("first_node").alias("__first_node"), F.col("class_id").alias("__first_id"))
     marked = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.unhex(F.md5("text")).alias("__node"))
     with_text = marked.where("__node is not null").join(first, F.col("__id").eqNullSafe(F.col("__first_id")) & (F.col("__node") == F.col("__first_node")), "left_semi")
     order = Window.partitionBy("__id", "__node").orderBy(F.lit(0))  # rows alike in both: one stays

@@ -19,3 +19,13 @@ def test_repeated_rows_are_ordered_as_one(spark):
     plan = c.number_within(df, ["g"], ["k"], "n", 10_000)._jdf.queryExecution().optimizedPlan().toString()
     window = plan.index("Window")
     assert "Aggregate" in plan[window:]  # the window's input is counted rows
+
+
+def test_joins_of_hot_keys(spark):
+    many = [(i, i % 40) for i in range(400)] + [(i, 7) for i in range(1000)] + [(i, None) for i in range(60)] + [(i, 99) for i in range(300)]
+    m = c.materialise(spark.createDataFrame(many, "id long, k int"), "many")
+    one = c.materialise(spark.createDataFrame([(k, f"v{k}") for k in range(0, 40)], "key int, v string"), "one")
+    want = Counter((i, k, f"v{k}" if k is not None and k < 40 else None) for i, k in many)
+    for hot in (10_000, 100, 2):
+        got = c.join_spread(m, one, "k", "key", len(many), hot_rows=hot)
+        assert got.columns == ["id", "k", "v"] and Counter((r.id, r.k, r.v) for r in got.collect()) == want

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -30,6 +31,33 @@ def classes_by_brute_force(rows, levels):
     return sorted((repr(r["doc_id"]), repr(r["doc_id"] if r["text"] is None else least[root(i)])) for i, r in enumerate(rows))
 
 
+def weights_from_text(text):
+    """The shingles of a text with ``1 + ln tf``, by the definition alone (every idf is 1 where no shingle is in 20 documents)."""
+    words = re.findall(r"\w+", text.lower())
+    size = min(5, len(words))
+    found = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else Counter()
+    return {s: 1 + math.log(k) for s, k in found.items()}
+
+
+def classes_from_text(rows, threshold=0.8):
+    """Classes by the weighted Jaccard similarity of all pairs; nothing of the operator is used."""
+    weights = [weights_from_text(r["text"] or "") for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(weights):
+        for j in range(i):
+            b = weights[j]
+            shared = sum(min(w, b[s]) for s, w in a.items() if s in b)
+            near = shared and shared / (sum(a.values()) + sum(b.values()) - shared) >= threshold
+            if rows[i]["text"] is not None and (near or rows[i]["text"] == rows[j]["text"]) and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if x == old else x for x in group]
+    least = {}
+    for g, r in zip(group, rows):
+        if r["doc_id"] is not None:
+            least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))
+    return sorted((repr(r["doc_id"]), repr(r["doc_id"] if r["text"] is None else least.get(g))) for g, r in zip(group, rows))
+
+
 def levels_of(rows):
     table = np.zeros(1 << n.TABLE_BITS, dtype=np.int64)
     for r in rows:
@@ -53,7 +81,7 @@ def test_against_brute_force(spark):
     docs = helpers.documents(spark)
     rows = helpers.rows_of(docs)
     got = n.near_classes(docs).collect()
-    assert sorted((repr(r.doc_id), repr(r.class_id)) for r in got) == classes_by_brute_force(rows, levels_of(rows))
+    assert sorted((repr(r.doc_id), repr(r.class_id)) for r in got) == classes_by_brute_force(rows, levels_of(rows)) == classes_from_text(rows)
     assert all(r.kept == (r.doc_id == r.class_id or r.doc_id is None) for r in got)
 
 
@@ -70,6 +98,22 @@ def test_large_families(spark, seed):
     assert sum((want - got).values()) <= 1  # a pair at the very threshold is missed once in 2,500
 
 
+def test_families_with_repeats_from_text(spark, monkeypatch):
+    """Repeated passages weigh by the logarithm; the operator agrees with the definition, also when buckets are compared in many parts."""
+    monkeypatch.setattr(n, "OPEN_NODES", 3)
+    rnd = random.Random(5)
+    texts = [t + " " + " ".join([t.split()[0]] * rnd.randrange(60)) + " " + " ".join(t.split()[:30] * rnd.randrange(4)) for _ in range(4) for t in family(rnd, 18, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {repr(r.doc_id): r.class_id for r in n.near_classes(docs).collect()}
+    # Weights are rounded to 250ths, so pairs within 0.01 of the threshold may fall either way.
+    sure, may = (dict(classes_from_text(helpers.rows_of(docs), t)) for t in (0.81, 0.79))
+    together = lambda of, a, b: of[a] == of[b]
+    for a in got:
+        for b in got:
+            assert together(got, a, b) >= together(sure, a, b) and together(got, a, b) <= together(may, a, b)
+    assert 1 < len(set(sure.values())) < len(sure)
+
+
 def test_one_row_of_each_class_stays(spark):
     docs = helpers.documents(spark)
     kept = n.without_copies(docs)
@@ -123,6 +167,9 @@ def test_words_and_their_hashes():
                 assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen) > 500
     long = helpers.words(rnd, 60_000)
+    assert n.word_hashes(long).tolist() == [n.word_hashes(w)[0] for w in long.split()]  # in blocks as at once
+    huge = "é, " * 10 + "x" * (3 * n.BLOCK_BYTES) + " and " + "y" * n.BLOCK_BYTES
+    assert n.word_hashes(huge).tolist() == [n.word_hashes(w)[0] for w in huge.replace(",", "").split()]
     assert n.word_hashes(long)[-1] == n.word_hashes(long.split()[-1])[0]
 
 
