@@ -9,7 +9,9 @@ exact for the sphere.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import takewhile
 
 import numpy as np
 
@@ -57,6 +59,26 @@ def envelope(points: Iterable[Pt]) -> tuple[float, float, float, float]:
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def spherical_envelope(mp: MultiPolygon) -> tuple[float, float, float, float]:
+    """The box of a multipolygon whose edges are great circles, which rise above their ends towards a pole."""
+    x0, y0, x1, y1 = envelope([p for o, _ in mp for p in o])
+    for outer, _ in mp:
+        a = np.radians(np.asarray(outer, dtype=float))
+        v = np.column_stack([np.cos(a[:, 1]) * np.cos(a[:, 0]), np.cos(a[:, 1]) * np.sin(a[:, 0]), np.sin(a[:, 1])])
+        p, q = v[:-1], v[1:]
+        n = np.cross(p, q)
+        size = np.linalg.norm(n, axis=1)
+        kept = size > 1e-12
+        n = n[kept] / size[kept, None]
+        # The circle's highest point lies on the edge when it comes after p and before q; the lowest is its opposite.
+        top = np.array([0.0, 0.0, 1.0]) - n[:, 2:] * n
+        after, before = np.einsum("ij,ij->i", np.cross(p[kept], top), n), np.einsum("ij,ij->i", np.cross(top, q[kept]), n)
+        height = np.degrees(np.arctan2(np.linalg.norm(top, axis=1), np.abs(n[:, 2])))
+        y1 = max([y1, *height[(after > 0) & (before > 0)].tolist()])
+        y0 = min([y0, *(-height[(after < 0) & (before < 0)]).tolist()])
+    return x0, y0, x1, y1
+
+
 def box_polygon(box: tuple[float, float, float, float]) -> Polygon:
     x0, y0, x1, y1 = box
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], []
@@ -94,16 +116,19 @@ class Gnomonic:
         x0, y0, x1, y1 = envelope(points)
         return cls((x0 + x1) / 2, (y0 + y1) / 2)
 
-    def points(self, pts: Sequence[Pt]) -> list[Pt] | None:
-        """The projected points; None where one lies beyond the horizon."""
+    def flat(self, pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(projected points, which of them lie before the horizon; the others' places mean nothing)."""
         a = np.radians(np.asarray(pts, dtype=float).reshape(-1, 2))
         d, s, c = a[:, 0] - self._lon, np.sin(a[:, 1]), np.cos(a[:, 1])
         depth = self._sin * s + self._cos * c * np.cos(d)
-        if len(depth) and depth.min() <= 1e-6:
-            return None
-        x = c * np.sin(d) / depth
-        y = (self._cos * s - self._sin * c * np.cos(d)) / depth
-        return list(zip(x.tolist(), y.tolist()))
+        seen = depth > 1e-6
+        depth = np.where(seen, depth, 1.0)
+        return np.column_stack([c * np.sin(d) / depth, (self._cos * s - self._sin * c * np.cos(d)) / depth]), seen
+
+    def points(self, pts: Sequence[Pt]) -> list[Pt] | None:
+        """The projected points; None where one lies beyond the horizon."""
+        xy, seen = self.flat(np.asarray(pts, dtype=float))
+        return list(map(tuple, xy.tolist())) if seen.all() else None
 
     def multi(self, mp: MultiPolygon) -> MultiPolygon | None:
         out = []
@@ -308,8 +333,12 @@ def line_intersects(line: Sequence[Pt], mp: MultiPolygon) -> bool:
     return any(meeting(a, b, (e[0], e[1]), (e[2], e[3])) for a, b in zip(line, line[1:]) for e in _near(edges, a, b).tolist())
 
 
+def disjoint(a: MultiPolygon, b: MultiPolygon) -> bool:
+    return not multi_intersects(a, b)
+
+
 def multi_intersects(a: MultiPolygon, b: MultiPolygon) -> bool:
-    """Whether two multipolygons share a point; ``disjoint`` is the opposite."""
+    """Whether two multipolygons share a point."""
     if not a or not b:
         return False
     if any(line_intersects(r, b) for r in rings(a)):
@@ -440,42 +469,52 @@ def _assemble(loops: list[Ring]) -> MultiPolygon:
 # ---------------------------------------------------------------- ring assembly
 
 
+def _is_ring(points: Sequence[Pt]) -> bool:
+    return len(points) > 3 and points[0] == points[-1]
+
+
 def stitch(parts: Sequence[Sequence[Pt]]) -> list[Ring]:
-    """Chains of parts that share end points, grown in the order given.
+    """Chains of parts that share end points; each part is in one chain.
 
-    The first unused part starts a chain. Passes over the unused parts join each one that meets
-    an end (the chain's start is tried before its end, a part's first point before its last)
-    until a pass adds nothing.
+    A part that is a ring is a chain of its own. The first unused part begins a chain; at its end,
+    then at its start, the earliest unused part that has an end point there is joined on, turned
+    where need be, until none is left or the chain is a ring. End points are indexed, so the time
+    grows with the number of points, not with the square of the number of parts.
     """
-    left = [list(p) for p in parts if p]
-    chains: list[Ring] = []
-    while left:
-        chain = left.pop(0)
-        grown = True
-        while grown and left:
-            grown, rest = False, []
-            for part in left:
-                if chain[0] == part[0]:
-                    chain = part[:0:-1] + chain
-                elif chain[0] == part[-1]:
-                    chain = part[:-1] + chain
-                elif chain[-1] == part[0]:
-                    chain = chain + part[1:]
-                elif chain[-1] == part[-1]:
-                    chain = chain + part[-2::-1]
-                else:
-                    rest.append(part)
-                    continue
-                grown = grown or len(part) > 1
-            left = rest
-        chains.append(chain)
+    whole = [list(p) for p in parts if p]
+    ends: dict[Pt, deque[int]] = {}
+    for i, p in enumerate(whole):
+        if not _is_ring(p):
+            for point in {p[0], p[-1]}:
+                ends.setdefault(point, deque()).append(i)
+    used = [False] * len(whole)
+
+    def further(point: Pt) -> list[Pt] | None:
+        """The next part from this point on, the point itself left out."""
+        waiting = ends.get(point, ())
+        while waiting:
+            i = waiting.popleft()
+            if not used[i]:
+                used[i] = True
+                return whole[i][1:] if whole[i][0] == point else whole[i][-2::-1]
+        return None
+
+    chains = []
+    for i, first in enumerate(whole):
+        if used[i]:
+            continue
+        used[i] = True
+        chain = deque(first)
+        for at, grow in ((-1, chain.extend), (0, chain.extendleft)):
+            while not _is_ring(chain) and (more := further(chain[at])) is not None:
+                grow(more)
+        chains.append(list(chain))
     return chains
 
 
 def closed_and_open(chains: Sequence[Ring]) -> tuple[list[Ring], list[Ring]]:
     """(closed chains of more than three points, the others)."""
-    is_closed = lambda c: len(c) > 3 and c[0] == c[-1]
-    return [c for c in chains if is_closed(c)], [c for c in chains if not is_closed(c)]
+    return [c for c in chains if _is_ring(c)], [c for c in chains if not _is_ring(c)]
 
 
 def assign_holes(outers: Sequence[Ring], inners: Sequence[Ring], strict: bool) -> list[Polygon]:
@@ -504,78 +543,86 @@ def distances(a: Pt, b: Pt, pts: np.ndarray) -> np.ndarray:
 
 
 def one_sided(ring: Ring, eps: float, inside: bool) -> Ring:
-    """Douglas-Peucker that drops points on one side of a chord only, up to ``eps`` away.
+    """A ring with fewer points that gives way to one side only.
 
-    With ``inside`` points of positive distance may go, else those of negative distance. The last
-    point of a closed ring is left out, as the first one stands for it. A chord without length is
-    dropped with what it spans.
+    The rule: a chord between two points of the ring may stand for all points between them when
+    each lies on the side that may go (``inside``: at a positive distance, else at a negative one)
+    or on the chord, and none is further than ``eps``. Where it may not, the point that speaks most
+    against it stays and cuts the range in two: the furthest one on the other side, else the
+    furthest one. The edge from the last point to the first is kept.
     """
-    pts = np.asarray(ring[:-1] if ring and ring[0] == ring[-1] else ring, dtype=float)
-    out: Ring = []
-    todo = [(0, len(pts) - 1)] if len(pts) else []
-    while todo:
-        l, r = todo.pop()
-        if r - l < 2:
-            out += [tuple(pts[i]) for i in range(l, r + 1)]
-            continue
-        a, b = tuple(pts[l]), tuple(pts[r])
-        if a == b:
+    pts = np.asarray(ring[:-1] if ring and ring[0] == ring[-1] else ring, dtype=float).reshape(-1, 2)
+    kept = np.zeros(len(pts), dtype=bool)
+    kept[:1] = kept[-1:] = True
+    ranges = [(0, len(pts) - 1)]
+    while ranges:
+        first, last = ranges.pop()
+        if last - first < 2:
             continue
-        d = distances(a, b, pts[l + 1 : r])
-        most, least = float(d.max()), float(-d.min())
-        wrong, wrong_at = (least, d.argmin()) if inside else (most, d.argmax())
-        good, good_at = (most, d.argmax()) if inside else (least, d.argmin())
-        if wrong <= 0 and good <= eps:
-            out += [a, b]
+        between = pts[first + 1 : last]
+        if (pts[first] == pts[last]).all():  # no chord: all that differs from the point must stay
+            free = -np.hypot(*(between - pts[first]).T)
+        else:
+            free = distances(tuple(pts[first]), tuple(pts[last]), between) * (1 if inside else -1)
+        if free.min() >= 0 and free.max() <= eps:
             continue
-        m = l + 1 + int(wrong_at if wrong > 0 else good_at)
-        todo += [(m + 1, r), (l, m)]
-    return drop_repeats(reclose(out))
+        cut = first + 1 + int(free.argmin() if free.min() < 0 else free.argmax())
+        kept[cut] = True
+        ranges += [(first, cut), (cut, last)]
+    return drop_repeats(reclose([tuple(p) for p in pts[kept].tolist()]))
 
 
 def score(points: int, most_points: int, kept_area: float, full_area: float) -> float:
     return 0.40 * (1 - points / most_points) + 0.60 * (kept_area / full_area if full_area else 0.0)
 
 
-#: Rings below this many points are not simplified; the widest tolerance, in degrees.
-LEAST_POINTS, LEAST_EPS, MOST_EPS, EPS_STEPS = 30, 1e-8, 0.013, 6
+#: Rings below this many points are not simplified, nor below so many in the result; the
+#: least and widest tolerance in degrees, and the number of tolerances.
+LEAST_POINTS, LEAST_KEPT, LEAST_EPS, MOST_EPS, EPS_STEPS = 30, 7, 1e-8, 0.013, 6
+
+
+def tolerances() -> np.ndarray:
+    return LEAST_EPS + (MOST_EPS - LEAST_EPS) / EPS_STEPS * np.arange(EPS_STEPS)
+
+
+def simplified_inside(ring: Ring) -> Ring | None:
+    """The simplification of a ring, points going outwards only, at which the score stops rising.
+
+    The ring is simplified at every tolerance first. Those that drop points make a series, which
+    ends before the first one with too few points; of it the last one before the score first falls
+    is taken.
+    """
+    full = abs(signed_area(ring))
+    tried = [one_sided(ring, eps, inside=False) for eps in tolerances()]
+    series = list(takewhile(lambda r: len(r) >= LEAST_KEPT, (r for r in tried if len(r) < len(ring))))
+    if not series:
+        return None
+    scores = np.array([score(len(r), len(ring), abs(signed_area(r)), full) for r in series])
+    falls = np.flatnonzero(np.diff(scores) < 0)
+    return series[falls[0] if len(falls) else -1]
 
 
 def under_estimate(ring: Ring) -> MultiPolygon:
-    """A smaller polygon inside the ring; empty for rings of few points.
+    """A smaller polygon inside the ring; empty for rings of few points, or where none is found.
 
-    Tolerances are tried in steps while the score rises. The result is used only when it is valid
-    and covered by the ring; a crossing result is repaired, then clipped.
+    The simplified ring is taken when it is valid and covered by the ring; if it crosses itself, with
+    its crossing loops cut out; and what sticks out of the ring is clipped.
     """
     if len(ring) < LEAST_POINTS:
         return []
-    (ring, _), full = correct((ring, [])), abs(signed_area(ring))
-    best, best_score, last, eps = None, -math.inf, -math.inf, LEAST_EPS
-    while eps < MOST_EPS:
-        got = one_sided(ring, eps, inside=False)
-        if len(got) < len(ring):
-            if len(got) < 7:
-                break
-            s = score(len(got), len(ring), abs(signed_area(got)), full)
-            if s >= best_score:
-                best, best_score = got, s
-            if s < last:
-                break
-            last = s
-        eps += (MOST_EPS - LEAST_EPS) / EPS_STEPS
-    if best is None:
+    ring, _ = correct((ring, []))
+    exact: MultiPolygon = [(ring, [])]
+    small = simplified_inside(ring)
+    if small is None:
         return []
-    candidates = [[(best, [])]]
-    if not is_simple(best) and len(best) > 10:
-        candidates.append([(without_crossings(best), [])])
-    for c in candidates:
-        if is_valid(c) and multi_covered_by(c, [(ring, [])]):
-            return [correct(p) for p in c]
-        if is_valid(c):
-            clipped = [p for p in overlay(c, [(ring, [])], "intersection") if is_valid([p])]
-            if clipped and multi_covered_by(clipped, [(ring, [])]):
-                return clipped
-    return []
+    if not is_simple(small):
+        small = without_crossings(small)
+        if not is_simple(small):
+            return []
+    shape: MultiPolygon = [correct((small, []))]
+    if not multi_covered_by(shape, exact):
+        shape = [p for p in overlay(shape, exact, "intersection") if is_valid([p])]
+    return shape if multi_covered_by(shape, exact) else []
 
 
 def over_estimate(ring: Ring) -> MultiPolygon:
@@ -597,27 +644,30 @@ def over_estimate(ring: Ring) -> MultiPolygon:
 
 
 def without_crossings(ring: Ring) -> Ring:
-    """The ring with the shorter loop cut out at each crossing of its edges."""
+    """The ring without the loops that its crossing edges close.
+
+    All crossings are found at once. Two edges that cross close a loop, the shorter way around
+    between them; loops that overlap, or lie in one another, are one group, and the points of a
+    group go together. What is left may cross anew, so this is repeated; each time points go.
+    """
     ring = drop_repeats(reclose(list(ring)))
-    for _ in range(len(ring)):
-        found = _crossing(ring)
-        if found is None:
-            break
-        i, j = found
-        inner, n = j - i, len(ring) - 1
-        if inner <= n - inner:
-            ring = ring[: i + 1] + ring[j + 1 :]
-        else:
-            ring = ring[i + 1 : j + 1]
-        ring = drop_repeats(reclose(ring))
-        if len(ring) < 4:
-            break
+    while len(ring) > 3 and (found := _crossings(ring)):
+        n = len(ring) - 1
+        step = np.zeros(n + 1, dtype=int)  # +1 where a loop begins, -1 behind its end
+        for i, j in found:
+            spans = [(i + 1, j + 1)] if 2 * (j - i) <= n else [(0, i + 1), (j + 1, n)]
+            for begin, end in spans:
+                step[begin] += 1
+                step[end] -= 1
+        left = np.flatnonzero(np.cumsum(step[:n]) == 0)
+        ring = drop_repeats(reclose([ring[k] for k in left.tolist()]))
     return ring
 
 
-def _crossing(ring: Ring) -> tuple[int, int] | None:
+def _crossings(ring: Ring) -> list[tuple[int, int]]:
+    """All pairs of edges, not neighbours, that share a point."""
     n = len(ring) - 1
-    return next(((i, j) for i, j in _self_meetings(ring) if j > i + 1 and not (i == 0 and j == n - 1)), None)
+    return [(i, j) for i, j in _self_meetings(ring) if j > i + 1 and not (i == 0 and j == n - 1)]
 
 
 def kept_valid(points: Sequence[Pt], lines: Sequence[Ring], polygons: Sequence[Polygon]) -> tuple[list[Pt], list[Ring], list[Polygon]]:

@@ -10,30 +10,12 @@ from contextlib import contextmanager
 log = logging.getLogger("cartolith")
 
 
-class Timer:
-    """A stopwatch that can be stopped and started again."""
-
-    def __init__(self) -> None:
-        self.seconds, self._since = 0.0, None
-
-    def tick(self) -> None:
-        if self._since is None:
-            self._since = time.perf_counter()
-
-    def tock(self) -> float:
-        """Stops, and gives the seconds so far."""
-        if self._since is not None:
-            self.seconds, self._since = self.seconds + time.perf_counter() - self._since, None
-        return self.seconds
-
-
 @contextmanager
-def step(name: str) -> Iterator[Timer]:
-    """Logs the start and the end of a step, with its time."""
-    timer = Timer()
-    timer.tick()
+def step(name: str) -> Iterator[None]:
+    """Logs the start and the end of a step, with its seconds."""
+    begin = time.perf_counter()
     log.info("%s ...", name)
     try:
-        yield timer
+        yield
     finally:
-        log.info("%s: %.1f s", name, timer.tock())
+        log.info("%s: %.1f s", name, time.perf_counter() - begin)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,48 @@ def test_stitching_any_order(order, turned):
     assert len(closed) == 1 and not open_ and len(closed[0]) == 13
 
 
+def test_rings_that_touch_stay_apart():
+    a, b = box(0, 0, 1, 1)[0], box(1, 1, 2, 2)[0]
+    assert sorted(map(len, g.stitch([a, b]))) == [5, 5]
+    halves = [a[:3], b[2:], a[2:], b[:3]]
+    closed, open_ = g.closed_and_open(g.stitch(halves))
+    assert not open_ and sum(len(r) - 1 for r in closed) == 8
+
+
+def test_many_parts_are_joined_quickly():
+    import time
+
+    pts = [(math.cos(2 * math.pi * i / 20_000), math.sin(2 * math.pi * i / 20_000)) for i in range(20_000)]
+    parts = [[pts[i], pts[(i + 1) % 20_000]] for i in range(20_000)]
+    random.Random(1).shuffle(parts)
+    start = time.process_time()
+    chains = g.stitch(parts)
+    assert len(chains) == 1 and len(chains[0]) == 20_001 and time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_one_sided_rings_keep_their_side(seed):
+    """No point of the ring lies on the wrong side of the chord that stands for it, nor further than the tolerance."""
+    rnd = random.Random(seed)
+    ring = wavy(60 + 10 * seed, rnd)
+    for inside in (True, False):
+        got = g.one_sided(ring, 0.01, inside)
+        at = [ring.index(p) for p in got[:-1]]
+        assert at == sorted(at) and got[0] == got[-1] == ring[0]
+        for i, j in zip(at, at[1:]):
+            if j - i > 1:
+                d = g.distances(ring[i], ring[j], np.array(ring[i + 1 : j]))
+                assert (d >= 0 if inside else d <= 0).all() and np.abs(d).max() <= 0.01
+
+
+def test_loops_that_overlap_go_together():
+    ring = [(math.cos(2 * math.pi * i / 40), math.sin(2 * math.pi * i / 40)) for i in range(40)]
+    ring[10], ring[11], ring[12], ring[13] = ring[12], ring[10], ring[13], ring[11]
+    ring.append(ring[0])
+    fixed = g.without_crossings(ring)
+    assert not g.is_simple(ring) and g.is_simple(fixed) and len(fixed) >= 30 and g._crossings(fixed) == []
+
+
 def test_open_chains_stay_open():
     closed, open_ = g.closed_and_open(g.stitch([[(0, 0), (1, 0)], [(5, 5), (6, 6)], [(1, 0), (2, 0)]]))
     assert not closed and open_ == [[(0, 0), (1, 0), (2, 0)], [(5, 5), (6, 6)]]
