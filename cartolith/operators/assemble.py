@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cartolith import model
 from cartolith.functions import geometry as g
 from cartolith.scratch import prepare
 
-#: Fixed value: boundaries of more outer ways are skipped.
+#: Fixed value: boundaries of more outer ways are skipped in the golden profile.
 MOST_OUTERS = 3000
 
 _PT = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
@@ -89,9 +90,7 @@ def relation_geometries(parts: DataFrame) -> DataFrame:
 
 
 def boundary_geometry(outers: list[g.Ring], inners: list[g.Ring]) -> tuple[g.MultiPolygon, g.MultiPolygon, g.MultiPolygon] | None:
-    """(exact, over-estimate, under-estimate); None without a closed outer ring or with too many parts."""
-    if not outers or len(outers) > MOST_OUTERS:
-        return None
+    """(exact, over-estimate, under-estimate); None without a closed outer ring."""
     closed, _ = g.closed_and_open(g.stitch(outers))
     if not closed:
         return None
@@ -103,15 +102,20 @@ def boundary_geometry(outers: list[g.Ring], inners: list[g.Ring]) -> tuple[g.Mul
         over += g.over_estimate(outer)
         small = g.under_estimate(outer)
         for hole in mine:
-            if small and g.multi_intersects(small, [(hole, [])]):
+            if small and not g.disjoint(small, [(hole, [])]):
                 small = g.overlay(small, [(hole, [])], "difference")
         under += small
     return exact, over, under
 
 
-def boundaries(parts: DataFrame) -> DataFrame:
-    """The boundary table (``model.BOUNDARIES``) of ``rel_id, outers, inners``; area in square metres."""
+def boundaries(parts: DataFrame, most_outers: int | None = None) -> DataFrame:
+    """The boundary table (``model.BOUNDARIES``) of ``rel_id, outers, inners``; area in square metres.
+
+    The box is that of great-circle edges. With ``most_outers`` boundaries of more outer ways are left out.
+    """
     prepare(parts.sparkSession)
+    if most_outers is not None:
+        parts = parts.where(F.size("outers") <= most_outers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +125,7 @@ def boundaries(parts: DataFrame) -> DataFrame:
                 if made is None:
                     continue
                 exact, over, under = made
-                box = g.envelope([p for o, _ in exact for p in o])
+                box = g.spherical_envelope(exact)
                 rows.append((i, g.area(exact, model.EARTH_RADIUS), *box, *([polygon_out(p) for p in mp] for mp in made)))
             kinds = [pa.int64(), *[pa.float64()] * 5, *[pa.list_(_POLYGON)] * 3]
             names = ["id", "area", "xmin", "ymin", "xmax", "ymax", "exact", "over", "under"]

@@ -8,6 +8,11 @@ give each pair once.
 Refine: exact predicates on the sphere (great-circle edges, by gnomonic projection about the
 boundary; planar on request). The under- and over-estimates only decide earlier what the exact
 shape would decide as well.
+
+Candidates are pairs of ids until then. A boundary's pairs are dealt to as many parts as they need
+(``PART_PAIRS`` each), so a country that holds most features is no hot key; its shape goes to each
+part once, not to each pair, and a part is a stream: the shape first, then the features one batch
+after the other.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +36,8 @@ FINEST = 0.25
 LEVELS = 12
 #: A box covers at most so many cells in each direction on its level, and one more.
 CELLS = 4
+#: Candidate pairs of a boundary that one part takes, about.
+PART_PAIRS = 20_000
 #: Fixed value: a polygon of a relation that is a boundary itself may stick out by this share of its area.
 TOLERANCE = 1e-5
 
@@ -136,7 +145,7 @@ class Feature:
         return True
 
 
-def decide(b: Boundary, f: Feature | None, kind: str = "way", tolerant: bool = False, touching_counts: bool = False, inside_box: bool = True, within_only: bool = False) -> tuple[str, str]:
+def decide(b: Boundary, f: "Feature | Spots | None", kind: str = "way", tolerant: bool = False, touching_counts: bool = False, inside_box: bool = True, within_only: bool = False) -> tuple[str, str]:
     """(``within``, ``intersects`` or ``none``; ``early accept``, ``early reject`` or ``regular``).
 
     ``touching_counts``: a way that meets the under-estimate is within (the golden profile).
@@ -157,7 +166,43 @@ def decide(b: Boundary, f: Feature | None, kind: str = "way", tolerant: bool = F
     return ("intersects" if not within_only and f.intersects(b.exact) else "none"), "regular"
 
 
-def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touching_counts: bool = False, within_only: bool = False) -> DataFrame:
+class Spots:
+    """A feature of points only, whose places in the shapes of a boundary are known."""
+
+    def __init__(self, places: dict[int, tuple[int, int]]):
+        self._places = places  # of each shape, by its identity: the lowest and the highest place of a point
+
+    def covered_by(self, mp: g.MultiPolygon) -> bool:
+        return self._places[id(mp)][0] >= 0
+
+    def intersects(self, mp: g.MultiPolygon) -> bool:
+        return self._places[id(mp)][1] >= 0
+
+    nearly_covered_by = covered_by
+
+
+def spots(b: Boundary, points: pa.ListArray) -> list[Spots | None]:
+    """The features of points only, tested against a boundary's shapes all at once."""
+    flat = points.flatten()
+    xy = np.column_stack([flat.field("lon").to_numpy(), flat.field("lat").to_numpy()])
+    starts = points.offsets.to_numpy()[:-1] - points.offsets[0].as_py()
+    seen = np.ones(len(xy), dtype=bool)
+    if b.project is not None:
+        xy, seen = b.project.flat(xy)
+    seen = np.minimum.reduceat(seen, starts)
+    ranges = {}
+    for mp in (b.exact, b.over, b.under):
+        at = g.places_in(xy.tolist(), mp) if mp else np.full(len(xy), -1, dtype=np.int8)
+        ranges[id(mp)] = (np.minimum.reduceat(at, starts).tolist(), np.maximum.reduceat(at, starts).tolist())
+    return [Spots({k: (low[i], high[i]) for k, (low, high) in ranges.items()}) if seen[i] else None for i in range(len(points))]
+
+
+_REFINED = "fid string, bid long, decision string, path string"
+_SHAPES = ("exact", "over", "under")
+_GEOMETRY = ("points", "lines", "polygons")
+
+
+def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touching_counts: bool = False, within_only: bool = False, part_pairs: int = PART_PAIRS) -> DataFrame:
     """``fid, bid, decision, path`` of each candidate pair that isn't the feature itself.
 
     ``features`` as ``FEATURES``: ``self`` is the boundary id that the feature is (else null). In the
@@ -165,32 +210,54 @@ def relate(features: DataFrame, boundaries: DataFrame, sphere: bool = True, touc
     such pairs don't leave the JVM; on the sphere edges bulge out of boxes and each pair is tested.
     """
     prepare(features.sparkSession)
-    boxed = feature_boxes(features)
+    boxed = feature_boxes(features).select("fid", "xmin", "ymin", "xmax", "ymax")
+    if sphere:  # great-circle edges of this width rise by less than that above their ends
+        rise = F.least(F.lit(90.0), F.lit(0.0025) * F.pow(F.col("xmax") - F.col("xmin"), F.lit(2.0)))
+        boxed = boxed.withColumn("ymin", F.col("ymin") - rise).withColumn("ymax", F.col("ymax") + rise)
     pairs = candidates(boxed, boundaries, sphere)
     if within_only and not sphere:
         pairs = pairs.where("inside_box")
-    shapes = boundaries.select(F.col("id").alias("bid"), "exact", "over", "under")
+    pairs = materialise(pairs, "pairs", "snappy")  # ids only
+    loads = pairs.groupBy("bid").agg(F.ceil(F.count(F.lit(1)) / part_pairs).cast("int").alias("parts"))
     known = boundaries.select(F.col("id").alias("self"), F.lit(True).alias("is_boundary"))
-    told = features.join(known, "self", "left").select("fid", "self", "kind", "points", "lines", "polygons", F.coalesce("is_boundary", F.lit(False)).alias("is_boundary"))
-    joined = pairs.join(told, "fid").where("self is null or self <> bid").join(shapes, "bid")
+    told = features.join(known, "self", "left").select("fid", "self", "kind", *_GEOMETRY, F.coalesce("is_boundary", F.lit(False)).alias("is_boundary"))
+    dealt = pairs.join(loads, "bid").withColumn("part", F.pmod(F.xxhash64("fid"), F.col("parts")).cast("int")).drop("parts")
+    asked = dealt.join(told, "fid").where("self is null or self <> bid").drop("self")
+    shapes = boundaries.select(F.col("id").alias("bid"), *_SHAPES).join(loads, "bid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    stream = shapes.withColumn("turn", F.lit(0)).unionByName(asked.withColumn("turn", F.lit(1)), allowMissingColumns=True)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ready = None, None
+        now, ready = None, None
         for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            bids = cols[1].to_pylist()
-            out = []
-            for i, bid in enumerate(bids):
-                if bid != last:
-                    exact, over, under = ([polygon_in(p) for p in cols[k][i].as_py()] for k in (7, 8, 9))
-                    last, ready = bid, Boundary(exact, over, under, sphere)
-                points, lines, polygons = (cols[k][i].as_py() for k in (4, 5, 6))
-                shape = ready.shape(ring_in(points), [ring_in(x) for x in lines], [polygon_in(p) for p in polygons])
-                out.append(decide(ready, shape, cols[2][i].as_py(), cols[3][i].as_py(), touching_counts, cols[10][i].as_py(), within_only))
-            yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array([d for d, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["fid", "bid", "decision", "path"])
-
-    ordered = joined.select("fid", "bid", "kind", "is_boundary", "points", "lines", "polygons", "exact", "over", "under", "inside_box").sortWithinPartitions("bid")
-    return ordered.mapInArrow(refine, "fid string, bid long, decision string, path string")
+            part = list(zip(batch.column("bid").to_pylist(), batch.column("part").to_pylist(), batch.column("turn").to_pylist()))
+            borders = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
+            for a, b in zip(borders, borders[1:]):
+                rows = batch.slice(a, b - a)
+                if not part[a][2]:
+                    now, ready = part[a][:2], Boundary(*([polygon_in(p) for p in rows.column(c)[0].as_py()] for c in _SHAPES), sphere)
+                    continue
+                if part[a][:2] != now:
+                    raise ValueError("a boundary's shape comes before its features")
+                out = _decided(ready, rows, touching_counts, within_only)
+                yield pa.RecordBatch.from_arrays([rows.column("fid"), rows.column("bid"), pa.array([d for d, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["fid", "bid", "decision", "path"])
+
+    columns = ["bid", "part", "turn", "fid", "kind", "is_boundary", "inside_box", *_GEOMETRY, *_SHAPES]
+    ordered = stream.select(*columns).repartition("bid", "part").sortWithinPartitions("bid", "part", "turn")
+    return ordered.mapInArrow(refine, _REFINED)
+
+
+def _decided(b: Boundary, rows: pa.RecordBatch, touching_counts: bool, within_only: bool) -> list[tuple[str, str]]:
+    """The decisions on a batch of features of one boundary."""
+    points, lines, polygons = (rows.column(c) for c in _GEOMETRY)
+    only_points = ((pc.list_value_length(lines).to_numpy() + pc.list_value_length(polygons).to_numpy()) == 0) & (pc.list_value_length(points).to_numpy() > 0)
+    shapes: list[Feature | Spots | None] = [None] * rows.num_rows
+    if only_points.any():
+        for i, shape in zip(np.flatnonzero(only_points).tolist(), spots(b, points.filter(pa.array(only_points)))):
+            shapes[i] = shape
+    for i in np.flatnonzero(~only_points).tolist():
+        shapes[i] = b.shape(ring_in(points[i].as_py()), [ring_in(x) for x in lines[i].as_py()], [polygon_in(p) for p in polygons[i].as_py()])
+    told = zip(shapes, *(rows.column(c).to_pylist() for c in ("kind", "is_boundary", "inside_box")))
+    return [decide(b, shape, kind, tolerant, touching_counts, inside, within_only) for shape, kind, tolerant, inside in told]
 
 
 def containment(boundaries: DataFrame, sphere: bool = True) -> DataFrame:

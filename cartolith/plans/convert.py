@@ -33,9 +33,14 @@ class Extract:
 
 
 def read(spark: SparkSession, path: str) -> Extract:
-    """An extract from a ``.pbf`` or XML file (plain, gzip or bzip2)."""
-    source = osm_pbf if path.endswith(".pbf") else osm_xml
-    return Extract(source.read_nodes(spark, path), source.read_ways(spark, path), source.read_relations(spark, path))
+    """An extract from a ``.pbf`` or XML file (plain, gzip or bzip2).
+
+    A PBF file is decoded once, to a written table that the three entity tables are filters of.
+    """
+    if path.endswith(".pbf"):
+        entities = materialise(osm_pbf.read_entities(spark, path), "entities")
+        return Extract(osm_pbf.nodes_of(entities), osm_pbf.ways_of(entities), osm_pbf.relations_of(entities))
+    return Extract(osm_xml.read_nodes(spark, path), osm_xml.read_ways(spark, path), osm_xml.read_relations(spark, path))
 
 
 class Conversion:
@@ -73,7 +78,7 @@ class Conversion:
             refs = tags.way_refs(ways)
             at = resolve.way_coordinates(refs, resolve.used_nodes(self.x.nodes, refs))
             rows = resolve.member_ways(members.withColumn("mtype", F.lit("w")).withColumn("has_tag", F.lit(True)), at)
-            return assemble.boundaries(resolve.relation_parts(rows.withColumn("mtype", F.lit("w"))))
+            return assemble.boundaries(resolve.relation_parts(rows.withColumn("mtype", F.lit("w"))), assemble.MOST_OUTERS if self.golden else None)
 
         return self._once("boundaries", make)
 
@@ -192,6 +197,14 @@ def _literal(wkt: object) -> object:
     return F.concat(F.lit('"'), text, F.lit(f'"{model.WKT_LITERAL}'))
 
 
+def statistics(c: Conversion) -> dict[str, int]:
+    """What a conversion would write, counted by kind; nothing is written to its target."""
+    return {
+        "tag_lines": c.tag_lines().count(), "cluster_lines": c.cluster_lines().count(), "way_lines": c.way_lines().count(), "relation_lines": c.relation_lines().count(),
+        "clusters": c.clusters().select("cluster_id").distinct().count(), "boundaries": c.boundaries().count(),
+    }
+
+
 def convert(spark: SparkSession, source: str, target: str, profile: str = "default", only_stats: bool = False, compression: str | None = "bzip2") -> dict[str, int]:
     """Converts a file and writes Turtle; returns counts. ``only_stats`` writes nothing."""
     from cartolith.operators.stats import entity_counts
@@ -200,7 +213,8 @@ def convert(spark: SparkSession, source: str, target: str, profile: str = "defau
     counts = entity_counts(extract.nodes, extract.ways, extract.relations).first().asDict()
     c = Conversion(extract, profile)
     if only_stats:
-        return counts | {"lines": c.lines().count(), "clusters": c.clusters().select("cluster_id").distinct().count(), "boundaries": c.boundaries().count()}
+        told = statistics(c)
+        return counts | told | {"lines": sum(n for k, n in told.items() if k.endswith("_lines"))}
     with step("write"):
         turtle.write_turtle(spark, c.lines(), target, compression)
     return counts

@@ -1,9 +1,15 @@
 """OpenStreetMap PBF as three tables.
 
-A PBF file is a row of independent blobs. Small fixed-format headers tell where each blob lies, so
-one pass over them (seeking, not reading) gives a table of blobs; each blob is then decoded by
-itself in a task: zlib, the string table, dense nodes with delta coding, ways and relations. The
-decoder reads the wire format directly, as far as the map data needs it.
+A PBF file is a row of independent blobs, each behind a small header that names its kind. Spark's
+text source reads the file in byte ranges, from any store, with the header's field that names data
+blobs as the line separator: a line is then the rest of a header, its blob, and the size of the next
+header. So a file of any size is read by as many tasks as it has ranges, and a task holds one blob
+at a time. The separator has control characters that map data doesn't; should a blob have it in its
+own bytes nevertheless, it comes as several lines, its length tells, and they are put together again.
+
+Each blob is decoded by itself: zlib, the string table, dense nodes with delta coding, ways and
+relations. The decoder reads the wire format directly, as far as the map data needs it. One read
+gives all three kinds, as one table with a column ``kind``.
 """
 
 from __future__ import annotations
@@ -14,21 +20,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartolith.scratch import prepare
 
 _MEMBER = ("node", "way", "relation")
 _TAGS = pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))
-_KINDS = {
-    "node": [("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("tags", _TAGS)],
-    "way": [("id", pa.int64()), ("refs", pa.list_(pa.int64())), ("tags", _TAGS)],
-    "relation": [("id", pa.int64()), ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))), ("tags", _TAGS)],
-}
-_SCHEMAS = {
-    "node": "id BIGINT, lon DOUBLE, lat DOUBLE, tags ARRAY<STRUCT<k: STRING, v: STRING>>",
-    "way": "id BIGINT, refs ARRAY<BIGINT>, tags ARRAY<STRUCT<k: STRING, v: STRING>>",
-    "relation": "id BIGINT, members ARRAY<STRUCT<type: STRING, ref: BIGINT, role: STRING>>, tags ARRAY<STRUCT<k: STRING, v: STRING>>",
-}
+_MEMBERS = pa.list_(pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))
+_COLUMNS = [("kind", pa.string()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("refs", pa.list_(pa.int64())), ("members", _MEMBERS), ("tags", _TAGS)]
+ENTITIES = "kind STRING, id BIGINT, lon DOUBLE, lat DOUBLE, refs ARRAY<BIGINT>, members ARRAY<STRUCT<type: STRING, ref: BIGINT, role: STRING>>, tags ARRAY<STRUCT<k: STRING, v: STRING>>"
+#: Fixed value: the first field of the header of a blob with map data, which is the blob's kind.
+DATA = b"\x0a\x07OSMData"
 
 
 def varint(buf: bytes, at: int) -> tuple[int, int]:
@@ -95,8 +97,8 @@ def blob_data(blob: bytes) -> bytes:
     raise ValueError("a blob that is neither raw nor zlib")
 
 
-def decode_block(data: bytes, entity: str) -> Iterator[tuple]:
-    """The rows of one entity in a primitive block."""
+def decode_block(data: bytes) -> Iterator[tuple]:
+    """The entities of a primitive block, as rows of ``ENTITIES``."""
     strings: list[str] = []
     groups: list[bytes] = []
     scale = {17: 100, 19: 0, 20: 0}
@@ -111,10 +113,10 @@ def decode_block(data: bytes, entity: str) -> Iterator[tuple]:
     pairs = lambda keys, values: [{"k": strings[k], "v": strings[v]} for k, v in zip(keys, values)]
     for group in groups:
         for no, value in fields(group):
-            if entity == "node" and no == 1:
+            if no == 1:
                 f = dict(fields(value))  # type: ignore[arg-type]
-                yield zigzag(f[1]), degree(scale[20], zigzag(f[9])), degree(scale[19], zigzag(f[8])), pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
-            elif entity == "node" and no == 2:
+                yield "node", zigzag(f[1]), degree(scale[20], zigzag(f[9])), degree(scale[19], zigzag(f[8])), None, None, pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
+            elif no == 2:
                 f = dict(fields(value))  # type: ignore[arg-type]
                 ids, lats, lons = (_running(packed(f.get(n, b""), True)) for n in (1, 8, 9))  # type: ignore[arg-type]
                 kv, at = packed(f.get(10, b"")), 0  # type: ignore[arg-type]
@@ -124,58 +126,86 @@ def decode_block(data: bytes, entity: str) -> Iterator[tuple]:
                         tags.append({"k": strings[kv[at]], "v": strings[kv[at + 1]]})
                         at += 2
                     at += 1
-                    yield i, degree(scale[20], lon), degree(scale[19], lat), tags
-            elif entity == "way" and no == 3:
+                    yield "node", i, degree(scale[20], lon), degree(scale[19], lat), None, None, tags
+            elif no == 3:
                 f = dict(fields(value))  # type: ignore[arg-type]
-                yield signed64(f[1]), _running(packed(f.get(8, b""), True)), pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
-            elif entity == "relation" and no == 4:
+                yield "way", signed64(f[1]), None, None, _running(packed(f.get(8, b""), True)), None, pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
+            elif no == 4:
                 f = dict(fields(value))  # type: ignore[arg-type]
                 roles, refs, kinds = packed(f.get(8, b"")), _running(packed(f.get(9, b""), True)), packed(f.get(10, b""))  # type: ignore[arg-type]
                 members = [{"type": _MEMBER[k], "ref": r, "role": strings[s]} for s, r, k in zip(roles, refs, kinds)]
-                yield signed64(f[1]), members, pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
+                yield "relation", signed64(f[1]), None, None, None, members, pairs(packed(f.get(2, b"")), packed(f.get(3, b"")))  # type: ignore[arg-type]
 
 
-def split_blobs(content: bytes) -> Iterator[bytes]:
-    """The data blobs of a file's content, headers dropped."""
-    at = 0
-    while at < len(content):
-        (size,) = struct.unpack_from(">I", content, at)
-        head = dict(fields(content[at + 4 : at + 4 + size]))
-        at += 4 + size
-        blob, at = content[at : at + head[3]], at + head[3]  # type: ignore[operator,index]
-        if head[1] == b"OSMData":
+class _Short(Exception):
+    """A line that ends before its blob does."""
+
+
+def blob_of(line: bytes) -> bytes | None:
+    """The data blob that a line begins with; None for what stands before the first one."""
+    if line[:1] in (b"", b"\0"):  # the size of a file's first header
+        return None
+    at, size = 0, None
+    while size is None:  # the rest of the header: what follows the kind, up to the blob's size
+        key, at = varint(line, at)
+        if key >> 3 == 3 and key & 7 == 0:
+            size, at = varint(line, at)
+        elif key & 7 == 2:
+            skip, at = varint(line, at)
+            at += skip
+        else:
+            raise ValueError("not a blob of map data")
+    blob, rest = line[at : at + size], line[at + size :]
+    if len(blob) < size:
+        raise _Short
+    while len(rest) not in (0, 4):  # blobs of other kinds in between
+        if len(rest) < 4:
+            raise _Short
+        (head,) = struct.unpack_from(">I", rest)
+        told = dict(fields(rest[4 : 4 + head]))
+        if 3 not in told or len(rest) < 4 + head + told[3]:
+            raise _Short
+        rest = rest[4 + head + told[3] :]
+    return blob
+
+
+def blobs_of(lines: Iterator[bytes]) -> Iterator[bytes]:
+    """The data blobs of consecutive lines; lines that a blob's own bytes cut are put together."""
+    held: bytes | None = None
+    for line in lines:
+        held = line if held is None else held + DATA + line
+        try:
+            blob = blob_of(held)
+        except (_Short, IndexError):
+            continue
+        held = None
+        if blob is not None:
             yield blob
+    if held is not None:
+        raise ValueError("a blob is cut: the file is damaged, or a byte range ends inside a blob that holds its own separator (raise spark.sql.files.maxPartitionBytes)")
 
 
-def _read(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """Files are split to blobs where they are read; blobs are dealt anew, so a large file is decoded in parallel."""
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """All entities of a file or folder, as ``ENTITIES``, in one read."""
     prepare(spark)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for blob in split_blobs(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                rows = list(decode_block(blob_data(blob), entity))
-                cols = [pa.array([r[i] for r in rows], type=t) for i, (_, t) in enumerate(_KINDS[entity])]
-                yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in _KINDS[entity]])
+        lines = (line for batch in batches for line in batch.column(0).to_pylist())
+        for blob in blobs_of(lines):
+            rows = list(decode_block(blob_data(blob)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, (_, t) in enumerate(_COLUMNS)], names=[n for n, _ in _COLUMNS])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    blobs = files.mapInArrow(split, "blob binary").repartition(spark.sparkContext.defaultParallelism)
-    return blobs.mapInArrow(decode, _SCHEMAS[entity])
+    lines = spark.read.option("lineSep", DATA.decode()).text(path)
+    return lines.select(F.col("value").cast("binary").alias("line")).mapInArrow(decode, ENTITIES)
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "node")
+def nodes_of(entities: DataFrame) -> DataFrame:
+    return entities.where("kind = 'node'").select("id", "lon", "lat", "tags")
 
 
-def read_ways(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "way")
+def ways_of(entities: DataFrame) -> DataFrame:
+    return entities.where("kind = 'way'").select("id", "refs", "tags")
 
 
-def read_relations(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "relation")
+def relations_of(entities: DataFrame) -> DataFrame:
+    return entities.where("kind = 'relation'").select("id", "members", "tags")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from xml.sax.saxutils import quoteattr
+
+from cartolith.plans.fixture import ENRICHED, to_xml
 
 # Two extracts. Nodes: id -> (lat, lon, tags). Ways: id -> (refs, tags). Relations: id -> (members, tags).
 TAGGED = (
@@ -13,34 +14,10 @@ TAGGED = (
     {1000: ([("way", 23619512, ""), ("node", 255856327, "")], {"type": "restriction"})},
 )
 
-_common = {"commonkey": "commontag"}
-_long = {"name": "NameclusterLongerChain", **_common, "commonkey2": "commontag2"}
-ENRICHED = (
-    {
-        1: (50.0, 8.0, {}), 2: (50.0, 9.0, {}), 3: (51.0, 9.0, {}), 4: (51.0, 8.0, {}), 5: (50.02, 8.02, {}), 6: (50.03, 8.03, {}),
-        7: (50.88, 8.8, {}), 8: (51.01, 8.8, {}), 9: (50.05, 8.05, {}), 10: (50.05, 8.06, {}), 11: (50.06, 8.06, {}), 12: (50.8, 8.8, {}),
-        13: (51.01, 8.8, {}), 14: (51.01, 9.1, {}), 15: (50.070685, 8.7819939, {"name": "NodeInside"}), 16: (53.070685, 8.7819939, {"name": "NodeOutside"}),
-    },
-    {
-        1: ([1, 2, 3, 4, 1], {}), 2: ([5, 6], {"name": "WayInside"}), 3: ([7, 8], {"name": "WayNotEnclosed"}),
-        4: ([9, 10, 11, 9], {"name": "PolygonEnclosed"}), 5: ([12, 13, 14, 12], {"name": "PolygonNotEnclosed"}),
-        6: ([12, 13], {"name": "Namecluster", **_common, "ownkey": "a"}), 7: ([13, 14], {"name": "Namecluster", **_common, "ownkey": "b"}),
-        8: ([1, 2], {"name": "Namecluster", **_common, "ownkey": "a"}), 9: ([2, 3], {"name": "Namecluster", **_common, "ownkey": "b"}),
-        10: ([1, 2, 3], {**_long, "ownkey": "a"}), 11: ([3, 4], {**_long, "ownkey": "b"}), 12: ([4, 5, 6], {**_long, "ownkey": "b"}),
-    },
-    {1: ([("way", 1, "outer")], {"type": "boundary", "boundary": "administrative", "admin_level": "5", "name": "Perimeter"})},
-)
-
 
 def write_xml(extract: tuple, path: str) -> str:
-    tags = lambda t: "".join(f"<tag k={quoteattr(k)} v={quoteattr(v)}/>" for k, v in t.items())
-    nodes, ways, relations = extract
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<osm version="0.6">']
-    out += [f'<node id="{i}" lat="{lat!r}" lon="{lon!r}">{tags(t)}</node>' for i, (lat, lon, t) in nodes.items()]
-    out += [f'<way id="{i}">' + "".join(f'<nd ref="{r}"/>' for r in refs) + tags(t) + "</way>" for i, (refs, t) in ways.items()]
-    out += [f'<relation id="{i}">' + "".join(f'<member type="{k}" ref="{r}" role="{o}"/>' for k, r, o in ms) + tags(t) + "</relation>" for i, (ms, t) in relations.items()]
     with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join([*out, "</osm>"]))
+        f.write(to_xml(extract))
     return path
 
 
@@ -62,6 +39,12 @@ def field(no: int, value: int | bytes) -> bytes:
     return varint(no << 3 | 2) + varint(len(value)) + value
 
 
+def blob(kind: bytes, data: bytes, squeeze: bool) -> bytes:
+    body = field(2, len(data)) + field(3, zlib.compress(data)) if squeeze else field(1, data)
+    head = field(1, kind) + field(3, len(body))
+    return struct.pack(">I", len(head)) + head + body
+
+
 def write_pbf(extract: tuple, path: str, dense: bool = True) -> str:
     """A file of one header blob and one data blob for each kind of entity."""
     nodes, ways, relations = extract
@@ -81,11 +64,6 @@ def write_pbf(extract: tuple, path: str, dense: bool = True) -> str:
     groups.append(b"".join(field(4, field(1, i) + field(2, plain([s(k) for k in t])) + field(3, plain([s(v) for v in t.values()])) + field(8, plain([s(o) for _, _, o in m])) + field(9, deltas([r for _, r, _ in m])) + field(10, plain([kinds[k] for k, _, _ in m]))) for i, (m, t) in relations.items()))
     table = field(1, b"".join(field(1, x.encode()) for x in strings))
 
-    def blob(kind: bytes, data: bytes, squeeze: bool) -> bytes:
-        body = field(2, len(data)) + field(3, zlib.compress(data)) if squeeze else field(1, data)
-        head = field(1, kind) + field(3, len(body))
-        return struct.pack(">I", len(head)) + head + body
-
     with open(path, "wb") as f:
         f.write(blob(b"OSMHeader", field(4, b"OsmSchema-V0.6"), False))
         for i, g in enumerate(groups):

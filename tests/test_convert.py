@@ -2,12 +2,17 @@
 
 import bz2
 import glob
+import math
 from collections import Counter
 
 import pytest
 
 import maps
+from cartolith import model
+from cartolith.functions import geometry as g
+from cartolith.operators import spatial
 from cartolith.plans.convert import Conversion, convert, read
+from cartolith.sources import osm_pbf
 
 POINTS = {i: "%f %f" % (lon, lat) for i, (lat, lon, _) in maps.ENRICHED[0].items()}
 
@@ -58,6 +63,65 @@ def test_pbf_gives_the_same_tables(spark, tmp_path, dense):
         assert sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path):
+    """A file of many blobs gives many tasks with the same rows."""
+    nodes = {i: (50 + i / 1e4, 8 + i / 1e4, {"note": "OSMData" if i % 7 == 0 else "x" * (i % 90)}) for i in range(1, 3001)}
+    path = tmp_path / "many.pbf"
+    with open(path, "wb") as f:
+        for at in range(1, 3001, 50):
+            part = {i: nodes[i] for i in range(at, at + 50)}
+            f.write(open(maps.write_pbf((part, {at: ([at, at + 1], {"name": "OSMDataOSMData"})}, {}), str(tmp_path / "one"), at % 100 == 1), "rb").read())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = osm_pbf.read_entities(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = {r.id: (r.lat, r.lon, r.tags[0].v) for r in osm_pbf.nodes_of(rows).collect()}
+        assert got == {i: (pytest.approx(a), pytest.approx(o), t["note"]) for i, (a, o, t) in nodes.items()}
+        assert sorted(r.id for r in osm_pbf.ways_of(rows).collect()) == list(range(1, 3001, 50)) and osm_pbf.relations_of(rows).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_blobs_of_lines():
+    content = b"".join(maps.blob(kind, data, False) for kind, data in ((b"OSMHeader", b"h"), (b"OSMData", b"a" * 10), (b"Other", b"zz"), (b"OSMData", b"x" + osm_pbf.DATA + b"y"), (b"OSMData", b"OSMData"), (b"OSMData", b"")))
+    got = [osm_pbf.blob_data(x) for x in osm_pbf.blobs_of(iter(content.split(osm_pbf.DATA)))]
+    assert got == [b"a" * 10, b"x" + osm_pbf.DATA + b"y", b"OSMData", b""]
+    with pytest.raises(ValueError):
+        list(osm_pbf.blobs_of(iter(content[:-3].split(osm_pbf.DATA))))
+
+
+def test_a_boundary_that_holds_most_features(spark):
+    """95 % of the features lie in one boundary: its pairs are dealt to many parts, each with the shape once."""
+    ring = lambda x0, y0, x1, y1: [{"lon": float(x), "lat": float(y)} for x, y in g.box_polygon((x0, y0, x1, y1))[0]]
+    shape = lambda *box: [{"outer": ring(*box), "inners": []}]
+    boxes = [(1, (0, 0, 50, 50)), (2, (60, 0, 70, 10)), (3, (10, 10, 12, 12))]
+    table = spark.createDataFrame([(i, 1.0, *map(float, box), shape(*box), shape(*box), []) for i, box in boxes], model.BOUNDARIES.replace(": ", " "))
+    rows = [(f"p{i}", None, "node", [{"lon": (i * 7 % 500) / 10.0, "lat": (i * 3 % 490) / 10.0}], [], []) for i in range(950)]
+    rows += [(f"l{i}", None, "way", [], [[{"lon": 55.0 + i % 10, "lat": 5.0}, {"lon": 62.0, "lat": 5.0}]], []) for i in range(50)]
+    features = spark.createDataFrame(rows, spatial.FEATURES.replace(": ", " "))
+    got = spatial.relate(features, table, sphere=False, part_pairs=40)
+    told = Counter((r.fid, r.bid, r.decision) for r in got.collect())
+    want = Counter()
+    for fid, _, _, points, lines_, _ in rows:
+        for i, (x0, y0, x1, y1) in boxes:
+            ends = points or lines_[0]
+            inside = [x0 <= p["lon"] <= x1 and y0 <= p["lat"] <= y1 for p in ends]
+            if any(inside):
+                want[fid, i, "within" if all(inside) else "intersects"] += 1
+    assert {k: n for k, n in told.items() if k[2] != "none"} == want
+    assert told == Counter((r.fid, r.bid, r.decision) for r in spatial.relate(features, table, sphere=False).collect())
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "repartition" in text.lower()
+
+
+def test_boxes_of_great_circles():
+    x0, y0, x1, y1 = g.spherical_envelope([g.box_polygon((0, 17, 72, 51))])
+    assert (x0, y0, x1) == (0, 17, 72) and y1 == pytest.approx(math.degrees(math.atan(math.tan(math.radians(51)) / math.cos(math.radians(36)))))
+    assert g.spherical_envelope([g.box_polygon((0, -51, 72, -17))])[1] == pytest.approx(-56.770, abs=0.001)
+    assert g.spherical_envelope([([(0, 0), (1, 0), (1, 1), (0, 0)], [])])[3] == pytest.approx(1, abs=1e-9)
+
+
 def test_default_profile(spark):
     got = lines(Conversion(maps.tables(spark, maps.ENRICHED)).lines(with_tags=False))
     assert got["osmway:2 geof:sfWithin osmrel:1 ."] == 1
