@@ -101,3 +101,15 @@ def within_tolerance(difference: Column, original: Column) -> Column:
 def ring_distance(i: Column, j: Column, n: Column) -> Column:
     """Steps between two places of a ring of ``n``, the shorter way."""
     return F.least(F.pmod(i - j, n), F.pmod(j - i, n))
+
+
+def read_wkt(wkt: Column) -> Column:
+    """The rings of a ``POINT``, ``LINESTRING`` or ``POLYGON`` text as arrays of points; null for other texts.
+
+    A point is a ring of one point, a line a ring of its points.
+    """
+    body = F.regexp_extract(wkt, r"^\s*(?:POINT|LINESTRING|POLYGON)\s*\(+(.*?)\)+\s*$", 1)
+    number = lambda p, i: F.element_at(F.split(F.trim(p), r"\s+"), i).cast("double")
+    point = lambda p: F.struct(number(p, 1).alias("lon"), number(p, 2).alias("lat"))
+    rings = F.transform(F.split(body, r"\)\s*,\s*\("), lambda r: F.transform(F.split(r, ","), point))
+    return F.when(body != "", rings)

@@ -156,6 +156,36 @@ def at(df: DataFrame, positions: Sequence[int]) -> DataFrame:
     return df.where(F.col("pos").isin(*positions))
 
 
+def pushed_back(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """A vector (``pos`` from 0) with the rows of another one behind its end."""
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    return df.unionByName(rows.join(F.broadcast(n)).withColumn("pos", F.col("pos") + F.col("__n")).drop("__n"))  # one row
+
+
+def popped_back(df: DataFrame, k: int) -> DataFrame:
+    """A vector without its last ``k`` rows."""
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(F.broadcast(n)).where(F.col("pos") < F.col("__n") - k).drop("__n")  # one row
+
+
+def resized(df: DataFrame, n: int, **fill: object) -> DataFrame:
+    """A vector of ``n`` rows: cut, or filled up with one value for each column."""
+    old = df.agg(F.count(F.lit(1)).alias("__n"))
+    more = df.sparkSession.range(n).select(F.col("id").alias("__pos")).join(F.broadcast(old)).where(F.col("__pos") >= F.col("__n"))  # one row
+    more = more.select(F.col("__pos").alias("pos"), *[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in fill.items()])
+    return df.where(F.col("pos") < n).unionByName(more, allowMissingColumns=True)
+
+
+def assigned(df: DataFrame, values: DataFrame) -> DataFrame:
+    """A vector with other rows at the positions of ``values`` (the same columns, a position once)."""
+    return df.join(values.select("pos"), "pos", "left_anti").unionByName(values)
+
+
+def exported(df: DataFrame, path: str) -> None:
+    """Writes a vector's rows in order, a range of positions to a file."""
+    df.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(path)
+
+
 def backwards(df: DataFrame, n: int) -> DataFrame:
     """A stream of ``n`` rows read from its end: ``pos`` counts from the last row."""
     return df.withColumn("pos", F.lit(n) - 1 - F.col("pos"))

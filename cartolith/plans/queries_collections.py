@@ -196,6 +196,24 @@ def b33_vector(spark: S, d: str) -> DataFrame:
     return c.at(_orders(spark, d), [0, 7, 700, 1499]).select("pos", "id")
 
 
+@query("b33_vector_edits", f"""WITH {_O}, n AS (SELECT count(*) AS n FROM o),
+pushed AS (SELECT pos, id FROM o UNION ALL SELECT n + i, -1 - i FROM n, range(10) t(i)),
+popped AS (SELECT pos, id FROM pushed, n WHERE pos < n + 7),
+changed AS (SELECT pos, CASE WHEN pos = 5 THEN -100 ELSE id END AS id FROM popped)
+SELECT pos::BIGINT AS pos, id::BIGINT AS id FROM changed UNION ALL SELECT n + i, 0 FROM n, range(7, 20) t(i)""")
+def b33_vector_edits(spark: S, d: str) -> DataFrame:
+    """Pushed, popped, set, resized, exported and read back."""
+    from cartolith.scratch import scratch_path
+
+    o = _orders(spark, d).select("pos", F.col("id").cast("long").alias("id"))
+    n = o.count()
+    v = c.popped_back(c.pushed_back(o, spark.range(10).select(F.col("id").alias("pos"), (-1 - F.col("id")).alias("id"))), 3)
+    v = c.assigned(v, spark.createDataFrame([(5, -100)], "pos long, id long"))
+    path = scratch_path(spark, "vector")
+    c.exported(c.resized(v, n + 20, id=0), path)
+    return spark.read.parquet(path).select("pos", "id")
+
+
 @query("b34_reverse_reader", f"WITH {_O} SELECT (SELECT count(*) FROM o) - 1 - pos AS pos, id FROM o")
 def b34_reverse_reader(spark: S, d: str) -> DataFrame:
     o = _orders(spark, d)
@@ -212,12 +230,16 @@ def b35_sorter(spark: S, d: str) -> DataFrame:
 
 @query("b36_stack", f"WITH {_O} SELECT id, row_number() OVER (ORDER BY pos DESC) - 1 AS popped FROM o ORDER BY pos DESC LIMIT 50")
 def b36_stack(spark: S, d: str) -> DataFrame:
-    return c.last_in_first_out(_orders(spark, d), 50).select("id", "popped")
+    """By the key that positions follow: only the rows popped are ordered."""
+    keyed = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"))
+    return c.last_in_first_out(keyed, 50).select("id", "popped")
 
 
 @query("b37_queue", f"WITH {_O} SELECT id, row_number() OVER (ORDER BY pos) - 1 AS popped FROM o ORDER BY pos LIMIT 50")
 def b37_queue(spark: S, d: str) -> DataFrame:
-    return c.first_in_first_out(_orders(spark, d), 50).select("id", "popped")
+    """By the key that positions follow: only the rows popped are ordered."""
+    keyed = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"))
+    return c.first_in_first_out(keyed, 50).select("id", "popped")
 
 
 @query("b38_deque", f"WITH {_O} SELECT min_by(id, pos) AS front_id, min_by(price, pos) AS front_price, max_by(id, pos) AS back_id, max_by(price, pos) AS back_price FROM o")

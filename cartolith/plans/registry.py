@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from cartolith.plans import queries_collections, queries_graph  # noqa: E402, F401
+from cartolith.plans import queries_collections, queries_graph, queries_shapes  # noqa: E402, F401
