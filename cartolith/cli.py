@@ -35,12 +35,13 @@ def parse(argv: list[str]) -> argparse.Namespace:
         p.error("the input file is missing: -osmpath")
     if not args.ttlpath:
         p.error("the output path is missing: -ttlpath")
-    if not os.path.exists(args.osmpath):
-        p.error("cannot find the input file")
     folder, mark, _ = args.ttlpath.rpartition("/")
     if not mark:
         p.error("the output path has no folder")
-    if folder and not os.path.isdir(folder):
+    # Paths with a scheme are on a store that Spark reaches; it tells itself what it can't find there.
+    if "://" not in args.osmpath and not os.path.exists(args.osmpath):
+        p.error("cannot find the input file")
+    if "://" not in args.ttlpath and folder and not os.path.isdir(folder):
         p.error("cannot find the output folder")
     return args
 
