@@ -11,13 +11,13 @@ negative part falls below zero, the step goes against it, as the method has it.
 towards zero (proximal steps), so a long text is not toxic for its length.
 
 Fit: on at most ``most_positive`` and ``most_unlabelled`` documents, those with the smallest hash
-of ``doc_id``; scoring covers every document whole. Labels, language, source and ``doc_id`` are no
+of ``doc_id``, rows that repeat an id and a text once; scoring covers every document whole. Labels, language, source and ``doc_id`` are no
 inputs of a score. The prior is the share of toxic documents among labelled ones of the fold,
 unless given.
 
 Edge cases: a null or empty text scores what the model gives a text without features; equal texts
 score equal; labels that are null or contradict each other count as toxic if any row says 1; with
-no positives every score is the prior; repeated rows are scored as often as they occur; a null
+no positives every score is the prior; very long texts are scored whole; repeated rows are scored as often as they occur; a null
 ``doc_id`` is scored and is not held out; an empty table gives no rows; extra columns don't matter.
 """
 
@@ -97,28 +97,55 @@ class Scorer:
 
 
 class _Rows:
-    """Documents' kept features, worked through in blocks, so that no copy of them all is made."""
+    """Documents' kept features, ordered both ways: by document and by feature.
 
-    def __init__(self, docs: list[np.ndarray], place: np.ndarray, block: int = 500):
-        self.n = len(docs)
-        self._blocks = []
-        for at in range(0, self.n, block):
-            cols = [place[d] for d in docs[at : at + block]]
-            cols = [c[c >= 0] for c in cols]
-            self._blocks.append((at, np.array([len(c) for c in cols]), np.concatenate(cols)))
+    Sums run over neighbours in memory then, which is several times faster than scattering them.
+    """
+
+    def __init__(self, docs: list[np.ndarray], place: np.ndarray, k: int):
+        cols = [c[c >= 0] for c in (place[d] for d in docs)]
+        sizes = np.array([len(c) for c in cols])
+        self.n, self.k = len(docs), k
+        self._cols = np.concatenate(cols).astype(np.intp)
+        rows = np.repeat(np.arange(self.n), sizes)
+        order = np.argsort(self._cols, kind="stable")
+        self._rows = rows[order]
+        self._full, self._used = np.flatnonzero(sizes), np.unique(self._cols)
+        self._row_starts = (np.cumsum(sizes) - sizes)[self._full]
+        self._col_starts = np.searchsorted(self._cols[order], self._used)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """The sum of each document's weights."""
-        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), w[cols], len(n)) for _, n, cols in self._blocks])
+        out = np.zeros(self.n)
+        if len(self._full):
+            out[self._full] = np.add.reduceat(w[self._cols], self._row_starts)
+        return out
 
-    def gathered(self, x: np.ndarray, k: int) -> np.ndarray:
+    def gathered(self, x: np.ndarray) -> np.ndarray:
         """The sum of a document value over the documents of each feature."""
-        out = np.zeros(k)
-        for at, n, cols in self._blocks:
-            out += np.bincount(cols, np.repeat(x[at : at + len(n)], n), k)
+        out = np.zeros(self.k)
+        if len(self._used):
+            out[self._used] = np.add.reduceat(x[self._rows], self._col_starts)
         return out
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(the risk of positives as positive, that of negatives as negative, which may fall below zero), of margins."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The step's direction for each margin: the risk's gradient, or, where the negative part is below zero, against that part."""
+    as_negative_u, as_negative_p = sigmoid(zu) / len(zu), -prior * sigmoid(zp) / len(zp)
+    if risk(zp, zu, prior)[1] >= 0:
+        return -prior * sigmoid(-zp) / len(zp) + as_negative_p, as_negative_u
+    return -as_negative_p, -as_negative_u
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.15, shrink: float = 3e-4, full_shrink: int = 1_500, least_documents: int = 3) -> Model:
     """Fits the model by proximal gradient steps on the non-negative risk (Adam scaling).
 
@@ -134,21 +161,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
     del seen
-    n_p, n_u, k = len(positive), len(unlabelled), len(kept)
-    shrink *= max(1.0, full_shrink / n_p) ** 0.5
-    pos, unl = _Rows(positive, place), _Rows(unlabelled, place)
+    k = len(kept)
+    shrink *= max(1.0, full_shrink / len(positive)) ** 0.5
+    pos, unl = _Rows(positive, place, k), _Rows(unlabelled, place, k)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        zp, zu = bias + pos.times(w), bias + unl.times(w)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        to_neg_u, to_neg_p = sigmoid(zu) / n_u, -prior * sigmoid(zp) / n_p
-        if negative >= 0:
-            gp, gu = -prior * sigmoid(-zp) / n_p + to_neg_p, to_neg_u
-        else:
-            gp, gu = -to_neg_p, -to_neg_u
-        g = pos.gathered(gp, k) + unl.gathered(gu, k)
+        gp, gu = slopes(bias + pos.times(w), bias + unl.times(w), prior)
+        g = pos.gathered(gp) + unl.gathered(gu)
         gb = float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -175,25 +195,29 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, prior: float | No
         told = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("y")).first()
         prior = (told.y + 0.5) / (told.n + 1.0)
     prior = min(0.5, max(1e-3, float(prior)))
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    own = docs.select("doc_id", "text").where(F.coalesce(fold(F.col("doc_id")) != held_out, F.lit(False)))
-    chosen = known.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(most_positive)
-    confirmed = own.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(1).alias("y"))
-    some = own.select("doc_id", F.xxhash64("text").alias("__t")).orderBy(F.xxhash64("doc_id"), "__t").limit(most_unlabelled).select("doc_id").distinct()
-    others = own.join(F.broadcast(some), "doc_id", "left_semi").select("text", F.lit(0).alias("y"))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("__t")).where(F.coalesce(fold(F.col("doc_id")) != held_out, F.lit(False)))
+
+    def sample(rows: DataFrame, most: int, y: int) -> DataFrame:
+        """The rows with the smallest hashes, each (doc_id, text) once: never more than ``most``."""
+        chosen = rows.select("doc_id", "__t").distinct().orderBy(F.xxhash64("doc_id"), "__t").limit(most)
+        found = own.join(F.broadcast(chosen), ["doc_id", "__t"], "left_semi").dropDuplicates(["doc_id", "__t"])
+        return found.select("text", F.lit(y).alias("y"))
+
+    toxic = known.where("toxic = 1").select("doc_id")
+    sampled = sample(own.join(toxic, "doc_id", "left_semi"), most_positive, 1).unionByName(sample(own, most_unlabelled, 0))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features_of(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["y", "features"])
 
-    sample = confirmed.unionByName(others).mapInArrow(featurise, "y int, features binary").toArrow().combine_chunks()
-    y = sample.column("y").to_numpy()
+    told = sampled.mapInArrow(featurise, "y int, features binary").toArrow().combine_chunks()
+    y = told.column("y").to_numpy()
     # Views of the received buffer, in an order that doesn't depend on how tasks ended.
-    sets = [np.frombuffer(f.as_buffer(), dtype=np.int32) if f.as_buffer().size else np.empty(0, np.int32) for f in sample.column("features")]
+    sets = [np.frombuffer(f.as_buffer(), dtype=np.int32) if f.as_buffer().size else np.empty(0, np.int32) for f in told.column("features")]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), zlib.crc32(sets[i])))
     model = train([sets[i] for i in order if y[i] == 1], [sets[i] for i in order if y[i] == 0], prior)
-    del sample, sets, y
+    del told, sets, y
     pa.default_memory_pool().release_unused()
     return model
 
