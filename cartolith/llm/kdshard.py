@@ -11,7 +11,8 @@ Documents with equal texts share one point and stay together, as units, unless a
 more than ``tolerance`` of a shard: then it is dealt into pieces of about that weight, so one hot
 text can't upset the sizes.
 
-Edge cases: a null text weighs 8 bytes; a null ``doc_id``, language or source is the least
+Edge cases: a null text weighs 8 bytes and forms one group with the others; very long texts are
+measured whole, and one that outweighs a shard has a shard beyond the mean; a null ``doc_id``, language or source is the least
 coordinate of its dimension or a value of its own; rows that repeat are sharded as often as they
 occur; extra columns don't matter; an empty table gives no rows; shards stay empty when there are
 fewer documents than shards.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import materialise, number_within
+from cartolith.llm.common import join_spread, materialise, number_within
 
 DIMENSIONS = ("size", "place", "lang", "source")
 TOP = 65_535
@@ -62,7 +63,7 @@ def points(docs: DataFrame, shards: int, tolerance: float) -> tuple[DataFrame, D
         F.min("lang").alias("lang"), F.min("source").alias("source"),
     )
     groups = groups.select(F.col("text_key").alias("__k"), "pieces", "c_size", F.coalesce("c_place", F.lit(0)).alias("c_place"), hashed("lang").alias("c_lang"), hashed("source").alias("c_source"))
-    rows = slim.drop("lang", "source").join(groups, F.col("text_key") == F.col("__k")).drop("__k")
+    rows = join_spread(slim.drop("lang", "source"), materialise(groups, "kd-groups"), "text_key", "__k", all_.n)
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("pieces"))).drop("pieces")
     rows = materialise(rows, "kd-rows")
     coordinates = [f"c_{d}" for d in DIMENSIONS]
@@ -82,7 +83,7 @@ def _cut_in(rows: DataFrame, bin_: Column, last: bool) -> DataFrame:
     sums = sums.withColumn("end", F.col("before") + F.sum("b").over(up_to)).withColumn("start", F.col("end") - F.col("b"))
     if last:
         near = sums.groupBy("lo").agg(F.min(F.struct(F.abs(F.col("end") - F.col("goal")).alias("off"), "bin")).alias("best"), F.first("before").alias("before"), F.first("goal").alias("goal"))
-        none = F.abs(F.col("before") - F.col("goal")) < F.col("best.off")
+        none = F.abs(F.col("before") - F.col("goal")) <= F.col("best.off")  # of two cuts equally near, the earlier one
         return near.select(F.col("lo").alias("n_lo"), F.when(none, F.lit(-1)).otherwise(F.col("best.bin")).alias("cut"))
     return sums.where((F.col("start") < F.col("goal")) & (F.col("end") >= F.col("goal"))).select(F.col("lo").alias("n_lo"), F.col("bin").alias("cut"), F.col("start").alias("n_before"))
 

@@ -51,14 +51,43 @@ def test_bytes_are_near_equal(spark, copies, shards):
     assert all(len(groups[c]) == 1 for c, t in total.items() if t <= 0.01 * mean)
 
 
-def test_near_points_share_shards(spark):
-    """A split separates along a dimension: two shards of documents in two far places are those places."""
-    rows = [(i if i < 100 else 10**6 + i, helpers.words(random.Random(i), 50), "en", "a") for i in range(200)]
+def tree(units, lo, shards):
+    """The tree by its definition: whole nodes, sorted by coordinate and tie, cut nearest to the left shards' share."""
+    if shards == 1 or not units:
+        return {u["unit"]: lo for u in units}
+    spans = [max(u["at"][i] for u in units) - min(u["at"][i] for u in units) for i in range(len(k.DIMENSIONS))]
+    dim = spans.index(max(spans))
+    units = sorted(units, key=lambda u: (u["at"][dim], u["tie"]))
+    left = shards // 2
+    goal, before, n = sum(u["bytes"] for u in units) * left / shards, 0, 0
+    while n < len(units) and before + units[n]["bytes"] < goal:
+        before += units[n]["bytes"]
+        n += 1
+    if n < len(units) and abs(before + units[n]["bytes"] - goal) < abs(before - goal):
+        n += 1
+    return tree(units[:n], lo, left) | tree(units[n:], lo + left, shards - left)
+
+
+@pytest.mark.parametrize(("copies", "shards"), [(2, 2), (2, 5), (300, 24), (300, 13)])
+def test_against_a_tree_built_whole(spark, copies, shards):
+    docs = corpus(spark, 900, copies)
+    _, units, _ = k.points(docs, shards, 0.01)
+    rows = units.collect()
+    want = tree([{"unit": (u.text_key, u.piece), "at": [u[f"c_{d}"] for d in k.DIMENSIONS], "tie": u.tie, "bytes": u.bytes} for u in rows], 0, shards)
+    for _ in range((shards - 1).bit_length()):
+        units = k.materialise(k.split_level(units), "kd-test")
+    got = {(u.text_key, u.piece): u.lo for u in units.collect()}
+    assert got == want and len(set(want.values())) == shards
+
+
+def test_a_split_is_along_the_widest_dimension(spark):
+    """Two shards of equally large documents in two far places are those places."""
+    rows = [(i if i < 100 else 10**6 + i, f"{i:08d} " * 20, "en", "a") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     by = defaultdict(set)
     for r in k.kd_shards(docs, 2, tolerance=0.0001).collect():
         by[r.shard].add(r.doc_id < 1000)
-    assert all(len(v) <= 2 for v in by.values()) and by[0] != set()
+    assert by == {0: {True}, 1: {False}}
 
 
 def test_target_bytes_and_empty(spark):
