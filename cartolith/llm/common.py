@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +13,14 @@ from pyspark.sql import types as T
 
 from cartolith.scratch import materialise, prepare, scratch_path, scratch_root
 
-__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "join_spread", "whole_row", "free_name", "map_rows"]
+__all__ = ["materialise", "prepare", "scratch_path", "scratch_root", "table", "buckets_for", "number_within", "join_spread", "whole_row", "free_name", "map_rows", "give_back"]
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed but still holds to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

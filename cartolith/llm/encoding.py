@@ -14,8 +14,6 @@ tasks beside a heap of their executor's full size.
 from __future__ import annotations
 
 import array
-import contextlib
-import ctypes
 import json
 import os
 import sys
@@ -25,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cartolith.llm.common import give_back
+
 # The characters that are white space to the library or to Python, and plain letters.
 _SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -112,9 +112,7 @@ class MemoEncoder:
     def settle(self) -> None:
         """Gives back memory at the end of a task; the young generation stays for the next one."""
         self._old = {}
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc only
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     def _pack(self, ids: list[int]) -> bytes:
         a = array.array(self._code, ids)

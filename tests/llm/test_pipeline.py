@@ -89,6 +89,39 @@ def test_packing_holds_every_id(stages):
     assert all(sum(n for _, n in v) <= 4096 for v in bins.values())
 
 
+def test_awkward_documents_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties and columns with clashing names."""
+    import helpers
+
+    docs = helpers.documents(spark)
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 60, 2)] + [(None, 1), (3, None)], "doc_id long, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, str(tmp_path)), "awkward")
+        assert docs.columns == before.columns
+        if name == "pii":
+            assert docs.count() == before.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    tokens = Counter()
+    for r in packed:
+        tokens[r.doc_id] += r.length
+    from test_packing import ids_of
+
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len(ids_of(r.text))
+    assert tokens == want and any(r.text is None for r in docs.collect())
+
+
+def test_no_documents_pass_all_stages(spark, tmp_path):
+    import helpers
+
+    docs = helpers.empty(spark)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, str(tmp_path)), "none")
+        assert docs.count() == 0
+
+
 def test_run(spark, stages):
     told = lambda d: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in d.collect())
     assert told(corpus_pipeline.run(spark, DATA)) == told(stages[-1][2])
