@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +38,20 @@ def url_encode(s: Column) -> Column:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def fixed6(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fixed6(x: pa.Array) -> pa.Array:
     """Six decimals with exact-binary rounding, as C's ``%f`` (Java rounds the shortest decimal)."""
-    return x.map(lambda v: None if v is None or v != v else "%f" % v)
+    return pa.array([None if v is None or v != v else "%f" % v for v in x.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def fixed6_pairs(points: pd.Series) -> pd.Series:
-    """``lon lat`` of each point of an array, six decimals each."""
-    return points.map(lambda ps: None if ps is None else ["%f %f" % (p["lon"], p["lat"]) for p in ps])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def fixed6_pairs(points: pa.Array) -> pa.Array:
+    """``lon lat`` of each point of an array, six decimals each; a batch's points are formatted as one column."""
+    flat = points.flatten()
+    lon, lat = (pc.struct_field(flat, i).to_pylist() for i in (0, 1))
+    told = pa.array(["%f %f" % p for p in zip(lon, lat)], pa.string())
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), told, mask=points.is_null())
 
 
 def tag_objects(key: Column, value: Column) -> Column:
