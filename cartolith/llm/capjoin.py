@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import materialise, prepare
+from cartolith.llm.common import join_spread, materialise, prepare
 from cartolith.operators.graph import components
 
 THRESHOLD = 0.98
@@ -178,10 +178,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, codes: int
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(counts.select(F.col("key").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     roots = components(edges)
-    member = counts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
-    least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "__root")
-    told = member.join(least, F.col("root") == F.col("__root")).join(others, F.col("key") == F.col("a"), "left")
-    told = told.select(F.col("key").alias("__key"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = named.join(told, F.col("key") == F.col("__key"), "left")
+    member = materialise(counts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"), "cap-members")
+    least = materialise(member.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("component_id")), "cap-roots")
+    told = join_spread(member, least, "root", "__root", member.count()).join(others, F.col("key") == F.col("a"), "left")
+    told = materialise(told.select(F.col("key").alias("__key"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "cap-told")
+    out = join_spread(named, told, "key", "__key", rows.count())
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
