@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -82,7 +83,8 @@ def prepare(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_cartolith_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="cartolith-code-")
+    folder = tempfile.mkdtemp(prefix="cartolith-code-")  # Spark's file server takes the archive from here, as long as the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "cartolith_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, names in os.walk(_PACKAGE):

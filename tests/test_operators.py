@@ -105,6 +105,29 @@ def test_written_tables(spark):
     assert df.count() == 10 and df.dtypes == spark.range(10).dtypes
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cartolith.scratch import scratch_root
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict), conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_root(cluster)
+
+
+def test_earlier_rounds_are_deleted(spark):
+    import os
+
+    from cartolith.operators import graph
+    from cartolith.scratch import scratch_path
+
+    home = os.path.dirname(scratch_path(spark, "x"))
+    before = {n for n in os.listdir(home) if n.startswith(("stars", "edges"))} if os.path.isdir(home) else set()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in graph.components(chain).collect()} == {0}
+    assert len({n for n in os.listdir(home) if n.startswith(("stars", "edges"))} - before) == 1
+
+
 def test_command_line(tmp_path, capsys):
     source = tmp_path / "m.osm"
     source.write_text("<osm/>")
