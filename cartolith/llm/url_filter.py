@@ -27,8 +27,10 @@ other columns are ignored; an empty table or an empty rule list is fine.
 
 from __future__ import annotations
 
+import atexit
 import mmap
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -186,7 +188,8 @@ def _judge_by_file(split: DataFrame, named: DataFrame, shapes: list[tuple[int, i
     sent = sc.__dict__.setdefault("_cartolith_rule_files", set())
     name = f"cartolith-rules-{xxhash.xxh64_hexdigest(repr(rows))}.cuf"
     if name not in sent:  # a name can be registered once in an application
-        folder = tempfile.mkdtemp(prefix="cartolith-")  # Spark's file server takes the file from here
+        folder = tempfile.mkdtemp(prefix="cartolith-")  # Spark's file server takes the file from here, as long as the driver runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         write_digests(os.path.join(folder, name), rows)
         sc.addFile(os.path.join(folder, name))
         sent.add(name)
