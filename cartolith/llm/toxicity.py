@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import free_name, map_rows, prepare
+from cartolith.llm.common import free_name, give_back, map_rows, prepare
 
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -100,33 +100,54 @@ class _Rows:
     """Documents' kept features, ordered both ways: by document and by feature.
 
     Sums run over neighbours in memory then, which is several times faster than scattering them.
+    They are worked through in blocks of about ``block`` entries, so no wide copy of all is made.
     """
 
-    def __init__(self, docs: list[np.ndarray], place: np.ndarray, k: int):
+    def __init__(self, docs: list[np.ndarray], place: np.ndarray, k: int, block: int = 250_000):
+        self.n, self.k = len(docs), k
         cols = [c[c >= 0] for c in (place[d] for d in docs)]
         sizes = np.array([len(c) for c in cols])
-        self.n, self.k = len(docs), k
-        self._cols = np.concatenate(cols).astype(np.intp)
-        rows = np.repeat(np.arange(self.n), sizes)
-        order = np.argsort(self._cols, kind="stable")
-        self._rows = rows[order]
-        self._full, self._used = np.flatnonzero(sizes), np.unique(self._cols)
-        self._row_starts = (np.cumsum(sizes) - sizes)[self._full]
-        self._col_starts = np.searchsorted(self._cols[order], self._used)
+        flat = np.concatenate(cols).astype(np.int32, copy=False)
+        del cols
+        self._by_doc = _blocks(flat, sizes, block)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        counts, at = np.bincount(flat, minlength=k), 0
+        ordered = np.empty_like(rows)
+        edges = np.searchsorted(np.cumsum(counts), np.arange(0, len(flat) + 1, max(1, 4 * block)))
+        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), k]):  # a range of features at a time
+            here = np.flatnonzero((flat >= low) & (flat < high))
+            ordered[at : at + len(here)] = rows[here[np.argsort(flat[here], kind="stable")]]
+            at += len(here)
+        del rows
+        self._by_feature = _blocks(ordered, counts, block)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """The sum of each document's weights."""
-        out = np.zeros(self.n)
-        if len(self._full):
-            out[self._full] = np.add.reduceat(w[self._cols], self._row_starts)
-        return out
+        return _sums(self._by_doc, w, self.n)
 
     def gathered(self, x: np.ndarray) -> np.ndarray:
         """The sum of a document value over the documents of each feature."""
-        out = np.zeros(self.k)
-        if len(self._used):
-            out[self._used] = np.add.reduceat(x[self._rows], self._col_starts)
-        return out
+        return _sums(self._by_feature, x, self.k)
+
+
+def _blocks(flat: np.ndarray, sizes: np.ndarray, block: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(groups with entries, where each begins, entries) of blocks of whole groups; ``sizes`` of the groups in order."""
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[full])
+    out, first, done = [], 0, 0
+    while first < len(full):
+        last = max(first + 1, int(np.searchsorted(ends, done + block, side="right")))
+        starts = np.concatenate([[done], ends[first : last - 1]]) - done
+        out.append((full[first:last], starts, flat[done : ends[last - 1]]))
+        first, done = last, int(ends[last - 1])
+    return out
+
+
+def _sums(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for groups, starts, entries in blocks:
+        out[groups] = np.add.reduceat(x[entries], starts)
+    return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -216,9 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, prior: float | No
     # Views of the received buffer, in an order that doesn't depend on how tasks ended.
     sets = [np.frombuffer(f.as_buffer(), dtype=np.int32) if f.as_buffer().size else np.empty(0, np.int32) for f in told.column("features")]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), zlib.crc32(sets[i])))
+    give_back()
     model = train([sets[i] for i in order if y[i] == 1], [sets[i] for i in order if y[i] == 0], prior)
     del told, sets, y
-    pa.default_memory_pool().release_unused()
+    give_back()
     return model
 
 
