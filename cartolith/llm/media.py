@@ -12,10 +12,13 @@ Three tables are written to the shared folder:
 * ``lists``: the ordered chunk lists of the other payloads, one row per distinct payload.
 * ``chunks``: the distinct chunks of those, deduplicated by digest.
 
-Which chunks may be shared is told by a bitmap of the digests that occur more than once, of a
-fixed size (``bitmap_bits``). A false hit only sends a payload the longer way; when most of a
-corpus is shared, all of it goes that way, which is the plain join of lists and chunks. Reading
-joins lists with chunks on the digest, orders them and verifies each digest again.
+Which chunks may be shared is told by a bitmap of the digests that occur more than once, with 64
+bits for each chunk that the input's bytes let expect, up to ``MOST_BITS`` (8 MB, so its broadcast
+is bounded). A false hit only sends a payload the longer way, which is the plain join of lists and
+chunks. An input with fewer than four bits of that for a chunk (some 80 GB) has no bitmap:
+all its payloads go the longer way, and the pass that would fill it isn't made. What is stored and
+read back is the same either way. Reading joins lists with chunks on the digest, orders them and
+verifies each digest again.
 
 The stored form of a payload is its manifest (magic ``CDC1``, number of chunks, then digest and
 length of each) and its chunks as zstandard frames, in order: a function of the payload alone.
@@ -46,7 +49,7 @@ CUT_BITS = 12  # one cut in 4,096 bytes on average, beyond the least length
 WINDOW = 32
 LEVEL = 3
 DIGEST = 16
-BITMAP_BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 MAGIC = b"CDC1"
 
 #: The gear table: 32-bit words of SHA-256 of the byte's value.
@@ -148,7 +151,14 @@ def _columns(rows: list[tuple], kinds: list[pa.DataType]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
 
 
-def shared_bitmap(docs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+def bits_for(docs: DataFrame) -> int:
+    """The bitmap's size for the texts of ``docs``: a power of two, 0 where it would be too full to tell anything."""
+    told = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    chunks = told.n + told.size // (LEAST + (1 << CUT_BITS))
+    return 0 if 4 * chunks > MOST_BITS else min(MOST_BITS, max(LEAST_BITS, 1 << (64 * chunks).bit_length()))
+
+
+def shared_bitmap(docs: DataFrame, bits: int) -> np.ndarray:
     """The bitmap of digests that occur more than once in ``docs``: ``bits / 8`` bytes, whatever the input.
 
     Bits that two different digests share are set as well.
@@ -179,16 +189,19 @@ def shared_bitmap(docs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return bitmap
 
 
-def store(docs: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stores the payloads of ``docs`` (``doc_id``, ``text``): the tables (alone, lists, chunks), written.
 
+    ``bits``: the bitmap's size, 0 for none; by the input's size unless given.
+
     ``alone``: ``doc_id, n_bytes, digests, frames``. ``lists``: ``doc_id, n_bytes, payload, digests``
     for each row, where ``payload`` is the digest of the list. ``chunks``: ``digest, frame``.
     """
     spark = docs.sparkSession
     prepare(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = spark.sparkContext.broadcast(shared_bitmap(slim, bits))
+    bits = bits_for(slim) if bits is None else bits
+    told = spark.sparkContext.broadcast(shared_bitmap(slim, bits) if bits else None)  # at most MOST_BITS / 8 bytes
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = told.value
@@ -200,9 +213,8 @@ def store(docs: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFram
                 data = payload_of(text)
                 parts = chunks_of(data)
                 digests = [digest_of(p) for p in parts]
-                places = [_bit(d, bits) for d in digests]
                 n_bytes = len((text or "").encode())
-                if not any(bitmap[b >> 3] >> (b & 7) & 1 for b in places):
+                if bits and not any(bitmap[b >> 3] >> (b & 7) & 1 for b in (_bit(d, bits) for d in digests)):
                     rows.append((doc, n_bytes, None, digests, [squeeze.compress(p) for p in parts], True))
                     continue
                 if len(sent) > 100_000:
@@ -256,6 +268,6 @@ def read_back(alone: DataFrame, lists: DataFrame, chunks: DataFrame) -> DataFram
     return straight.unionByName(joined)
 
 
-def stored_media(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+def stored_media(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Stores all payloads and returns what is read back."""
     return read_back(*store(docs, bits))

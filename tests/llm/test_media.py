@@ -14,7 +14,7 @@ def want(text):
     return len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:])
 
 
-@pytest.mark.parametrize("bits", [media.BITMAP_BITS, 4096])
+@pytest.mark.parametrize("bits", [None, 4096, 0])
 def test_round_trip(spark, bits):
     """With a small bitmap nearly all payloads go the way of shared chunks; the values are the same."""
     docs = helpers.documents(spark)
@@ -70,3 +70,11 @@ def test_damage_is_seen():
 
 def test_empty(spark):
     assert media.stored_media(helpers.empty(spark)).count() == 0
+
+
+def test_the_bitmap_grows_with_the_input(spark, monkeypatch):
+    docs = helpers.documents(spark)
+    assert media.bits_for(helpers.empty(spark)) == media.LEAST_BITS <= media.bits_for(docs) <= media.MOST_BITS
+    monkeypatch.setattr(media, "LEAST_BITS", 1)
+    monkeypatch.setattr(media, "MOST_BITS", 4)
+    assert media.bits_for(docs) == 0
