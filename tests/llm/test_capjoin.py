@@ -104,3 +104,57 @@ def test_listed_filters_are_the_exceeding_ones():
     for f, s, t in zip(c.filters_of(x, 32, 10.0, 1), a, b):
         want = np.flatnonzero((s[:, None] + t[None, :]).reshape(-1) >= alpha)
         assert (len(want) == 0 and len(f) == 1) or f.tolist() == want.tolist()
+
+
+def test_best_filters_are_the_best_of_all():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((30, 50))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation, vectors = c.product_code(50, 100, 1)
+    y, sums, begin = x @ rotation, np.zeros((30, 1)), 0
+    for v in vectors:
+        sums = (sums[:, :, None] + (y[:, begin : begin + v.shape[1]] @ v.T)[:, None, :]).reshape(30, -1)
+        begin += v.shape[1]
+    assert begin == 50
+    want = np.sort(np.argsort(-sums, axis=1)[:, : c.EACH], axis=1)
+    assert (np.sort(c.best_filters(x, 100, 1), axis=1) == want).all()
+
+
+@pytest.mark.parametrize("most", [500, 1_000_000])
+def test_recall_of_buckets(most):
+    """Pairs at the threshold share a bucket; others hardly ever do, however many there are."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((4000, 64))
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * noise
+    labels = np.zeros(4000, dtype=int)
+    a, b = c.buckets_of(x, labels, most), c.buckets_of(y, labels, most)
+    assert np.mean([bool(len(np.intersect1d(p, q))) for p, q in zip(a, b)]) > 0.999
+    n = np.unique(np.concatenate(a), return_counts=True)[1]
+    assert (n * (n - 1) // 2).sum() * (most / 4000) < 4000 * 4  # old filters: 32 ** 2 / 2 ** 19 a pair, whatever the size
+    assert not np.intersect1d(np.concatenate(a), np.concatenate(c.buckets_of(x, labels + 1, most))).size
+
+
+@pytest.mark.parametrize(("tile", "few"), [(2, 3), (7, 20), (1024, 256)])
+def test_tiles_count_each_pair_once(spark, tile, few):
+    """A crowded filter in many tiles, and small ones together, give the links of all pairs."""
+    from pyspark.sql import functions as F
+
+    rows = vectors(11, 150, 64, labels=1, families=2) + vectors(12, 40, 3, labels=2, families=2)
+    use = [(i, np.array(e, dtype="<f4"), label) for i, (_, e, label) in enumerate(rows)]
+    made = []
+    for i, e, label in use:
+        unit = e.astype(float) / np.linalg.norm(e.astype(float))
+        made.append((i, label, len(e), bytearray(e.tobytes()), 1 + i % 3, [int(f) for f in c.buckets_of(unit[None], np.array([label]), 500)[0]]))
+    df = spark.createDataFrame(made, "id long, label int, dim int, raw binary, copies long, filters array<long>")
+    found = c.links(df, 0.98, "<f4", tile, few)
+    got = {r.a: r.n for r in found.groupBy("a").agg(F.sum("links").alias("n")).collect()}
+    want = {}
+    for i, x, p in use:
+        for j, y, q in use:
+            if i != j and p == q and len(x) == len(y) and c.cosine(x[None].astype(float), y[None].astype(float))[0] >= 0.98:
+                want[i] = want.get(i, 0) + 1 + j % 3
+    assert got == want and max(got.values()) > 30
