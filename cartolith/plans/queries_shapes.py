@@ -20,12 +20,19 @@ from cartolith.plans.registry import query
 from cartolith.scratch import prepare, scratch_path
 
 S = SparkSession
+#: Tasks for each core where rows are long work.
+TASKS_A_CORE = 4
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def each(df: DataFrame, f: Callable[[dict], dict], schema: str) -> DataFrame:
-    """The geometry kernels on each row, in Arrow batches."""
+    """The geometry kernels on each row, in Arrow batches.
+
+    A row takes far more time than its bytes tell, so rows are dealt to all cores: a small table is one
+    file, and adaptive execution makes few partitions of short rows.
+    """
     prepare(df.sparkSession)
+    df = df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
     fields = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

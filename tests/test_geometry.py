@@ -198,3 +198,51 @@ def test_large_rings_are_quick():
     start = time.process_time()
     assert g.is_simple(ring) == g.is_simple(ring[::-1]) and g.polygon_covered_by(([(10 + (x - 10) / 2, 10 + (y - 10) / 2) for x, y in ring], []), [(ring, [])])
     assert time.process_time() - start < 20
+
+
+def _spoilt(seed):
+    """Rings that cross, touch, overlap or repeat themselves."""
+    rnd = random.Random(seed)
+    grid = lambda r: [(round(2 * x) / 2, round(2 * y) / 2) for x, y in r] if seed % 3 == 0 else r
+    a, b = grid(star(rnd, 0, 0, 5 + seed % 40)[0]), grid(star(rnd, 0.5, 0, 30 - seed % 20)[0])
+    if seed % 2:
+        a[2], a[3] = a[3], a[2]
+    return a, (a[::-1] if seed % 5 == 0 else b)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_arrays_of_segments_meet_like_single_ones(seed):
+    a, b = _spoilt(seed)
+    edges = g._edge_arrays([(b, [])])
+    want = [(*p, *q) for x, y in zip(a, a[1:]) for p, q in g._pieces(x, y, edges)]
+    assert list(map(tuple, g._cut(g._edge_arrays([(a, [])]), edges).tolist())) == want
+    n, pairs = len(a) - 1, []
+    for i in range(n):
+        for j in range(i + 1, n):
+            met = g.meeting(a[i], a[i + 1], a[j], a[j + 1])
+            if j == i + 1:
+                met = [t for t in met if t < 1 - 1e-9]
+            elif i == 0 and j == n - 1:
+                met = [t for t in met if t > 1e-9]
+            if met:
+                pairs.append((i, j))
+    assert list(g._self_meetings(a)) == pairs
+
+
+def test_tolerances_together_are_as_each_alone():
+    for seed in range(6):
+        ring = wavy(60 + 30 * seed, random.Random(seed))
+        for inside in (True, False):
+            assert g.one_sided_at(ring, g.tolerances(), inside) == [g.one_sided(ring, e, inside) for e in g.tolerances()]
+
+
+def test_no_plain_step_for_each_pair_of_segments(monkeypatch):
+    """Estimates and loops of a ring look at its pairs of segments at once."""
+    calls, plain = [], g.meeting
+    monkeypatch.setattr(g, "meeting", lambda *p: calls.append(1) or plain(*p))
+    ring = wavy(100, random.Random(1))
+    assert g.multi_covered_by(g.under_estimate(ring), [g.correct((ring, []))]) and g.over_estimate(ring)
+    assert len(calls) < 100
+    calls.clear()
+    ring[3], ring[4] = ring[4], ring[3]
+    assert g.is_simple(g.without_crossings(ring)) and not calls

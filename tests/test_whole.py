@@ -84,3 +84,12 @@ def test_skip_set_of_boundaries(spark, tmp_path):
         customer=("c_custkey long, c_nationkey int, c_acctbal double, c_name string", customer),
     )
     assert sorted(r.id for r in run(spark, "a74_skip_set", d).collect()) == [3, 4]
+
+
+def test_rows_of_kernels_are_dealt_to_all_cores(spark, tmp_path):
+    """A table of one file, and keys that shuffle to one partition, are work for each core."""
+    d = tables(spark, tmp_path, part=(PART, [part(k) for k in range(64)]), orders=(ORDER, [(k, k, "O") for k in range(64)]))
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("g24_estimates", "g26_loops"):
+        made = run(spark, name, d)
+        assert made.rdd.getNumPartitions() > cores > 1 and made.count() == 64
