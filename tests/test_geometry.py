@@ -246,3 +246,47 @@ def test_no_plain_step_for_each_pair_of_segments(monkeypatch):
     calls.clear()
     ring[3], ring[4] = ring[4], ring[3]
     assert g.is_simple(g.without_crossings(ring)) and not calls
+
+
+def _loops_cut_plainly(ring):
+    """``without_crossings``, one ring and one pair of edges after the other."""
+    ring = g.drop_repeats(g.reclose(list(ring)))
+    while len(ring) > 3:
+        n, gone = len(ring) - 1, set()
+        pairs = [(i, j) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1) and g.meeting(ring[i], ring[i + 1], ring[j], ring[j + 1])]
+        if not pairs:
+            break
+        for i, j in pairs:
+            between = set(range(i + 1, j + 1))
+            gone |= between if 2 * (j - i) <= n else set(range(n)) - between
+        ring = g.drop_repeats(g.reclose([ring[k] for k in range(n) if k not in gone]))
+    return ring
+
+
+def _odd_rings():
+    """Rings that cross, touch or repeat themselves, open ones, and hardly any points; one larger than what is looked at together."""
+    made = [r for seed in range(40) for r in _spoilt(seed)]
+    made += [r[:-1] for r in made[::3]] + [[r[0], *r] for r in made[::4]]
+    return [[], *made, [(0.0, 0.0)], [(0.0, 0.0)] * 5, [(0.0, 0.0), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)], []]
+
+
+@pytest.mark.parametrize("together", [1, 500, g._TOGETHER])
+def test_rings_together_are_as_each_alone(monkeypatch, together):
+    monkeypatch.setattr(g, "_TOGETHER", together)
+    many = _odd_rings()
+    got = g.packed(many)
+    assert g.unpacked(got) == many
+    assert g.are_simple(got).tolist() == [g.is_simple(r) for r in many]
+    assert g.unpacked(g.all_without_crossings(got)) == [_loops_cut_plainly(r) for r in many]
+    assert [len(x) for x in g.all_without_crossings(g.packed([]))] == [0, 1]
+
+
+def test_no_step_for_each_ring_of_a_batch(monkeypatch):
+    calls, whole = [], g._meetings
+    monkeypatch.setattr(g, "_meetings", lambda *p: calls.append(1) or whole(*p))
+    many = [wavy(24 + k % 40, random.Random(k)) for k in range(400)]
+    for ring in many:
+        ring[5], ring[6] = ring[6], ring[5]
+    many = g.packed(many)
+    assert not g.are_simple(many).any() and g.are_simple(g.all_without_crossings(many)).all()
+    assert len(calls) < 100
