@@ -339,18 +339,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     """(``doc_id, node`` of each row, ``node, root`` of each node that has a link), written tables."""
     prepare(docs.sparkSession)
     levels = idf_levels(*document_counts(docs))
-    rows = materialise(signatures(docs, levels), "dup-rows")
+    rows = materialise(signatures(docs, levels), "dup-rows", few=True)
     banded = rows.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
     # Buckets with at least two different texts; they are summed up before the shuffle.
     buckets = banded.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n")).where("one != other")
-    members = materialise(banded.join(buckets.select("key", "n"), "key").distinct(), "dup-members")
+    members = materialise(banded.join(buckets.select("key", "n"), "key").distinct(), "dup-members", few=True)
     fullness = members.groupBy("node").agg(F.sum("n").alias("fullness"))
     centres = members.join(fullness, "node").groupBy("key").agg(F.max(F.struct("fullness", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     members = materialise(members.select("key", "node").join(centres, "key").where("node != centre"), "dup-centred")
     star = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     nodes = members.select("node").unionByName(members.select(F.col("centre").alias("node"))).distinct()
-    weighted = materialise(nodes_with_elements(docs, nodes, levels), "dup-weighted")
-    known = materialise(measured(star, weighted), "dup-star")
+    weighted = materialise(nodes_with_elements(docs, nodes, levels), "dup-weighted", few=True)
+    known = materialise(measured(star, weighted), "dup-star", few=True)
     roots = materialise(components(known.where(F.col("sim") >= threshold)), "dup-roots")
     more = materialise(_further_links(rows, members, known, roots, weighted, threshold), "dup-further")
     joined = components(more).select(F.col("node").alias("__node"), F.col("root").alias("__root"))

@@ -57,15 +57,25 @@ def _remove(gateway: JavaGateway, path: str) -> None:
         where.getFileSystem(hadoop.conf.Configuration()).delete(where, True)
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, columns stay prunable."""
-    return materialise_at(df, name, codec)[0]
+#: A table that is written to a local folder goes there without checksum files. Hadoop starts a process
+#: (``chmod``) for each file and folder it makes in a local folder, with checksums four for each file,
+#: and until that process has begun, all memory of the executor counts as its own as well.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", few: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut, columns stay prunable.
+
+    With ``few``, rows of small tables that many tasks make are gathered first, by their bytes, into
+    few files.
+    """
+    return materialise_at(df.hint("rebalance") if few else df, name, codec)[0]
 
 
 def materialise_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """``materialise`` with the table's path, for steps that ``discard`` it."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **_PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

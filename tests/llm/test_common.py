@@ -1,6 +1,8 @@
+import os
 from collections import Counter
 
 from cartolith.llm import common as c
+from cartolith.scratch import materialise, materialise_at
 
 
 def test_numbers_of_repeated_rows(spark):
@@ -29,3 +31,16 @@ def test_joins_of_hot_keys(spark):
     for hot in (10_000, 100, 2):
         got = c.join_spread(m, one, "k", "key", len(many), hot_rows=hot)
         assert got.columns == ["id", "k", "v"] and Counter((r.id, r.k, r.v) for r in got.collect()) == want
+
+
+def test_written_tables_have_no_checksum_files(spark):
+    """Hadoop starts a process for each file it makes in a local folder."""
+    df, path = materialise_at(spark.range(0, 10, 1, 4), "plain")
+    names = os.listdir(path.removeprefix("file:"))
+    assert sum(n.startswith("part-") for n in names) == 4 and not [n for n in names if n.endswith(".crc")]
+    assert df.count() == 10
+
+
+def test_rows_of_many_tasks_are_gathered_in_few_files(spark):
+    df = materialise(spark.range(0, 1000, 1, 16), "few", few=True)
+    assert len(df.inputFiles()) < 4 and [r.id for r in df.orderBy("id").collect()] == list(range(1000))

@@ -124,6 +124,18 @@ def test_one_row_of_each_class_stays(spark):
     assert kept.where("text is null").count() == docs.where("text is null").count()
 
 
+def test_small_tables_of_many_tasks_are_few_files(spark, monkeypatch):
+    written = {}
+
+    def noted(df, name, *rest, plain=n.materialise, **more):
+        written[name] = out = plain(df, name, *rest, **more)
+        return out
+
+    monkeypatch.setattr(n, "materialise", noted)
+    n.near_classes(helpers.documents(spark).repartition(16)).count()
+    assert len(written["dup-rows"].inputFiles()) < 4
+
+
 def test_empty(spark):
     assert n.near_classes(helpers.empty(spark)).count() == 0
     assert n.without_copies(helpers.empty(spark)).count() == 0
